@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, tokencount
+from . import langid, quality, sharding, tokencount, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": lambda s, d: langid.detect(_t(s, d, "documents")),
+        "op3_toxicity": lambda s, d: toxicity.detect(_t(s, d, "documents"), _t(s, d, "labels")),
         "op8_token_counts": lambda s, d: tokencount.count_tokens(_t(s, d, "documents")),
+        "op9_quality_rules": lambda s, d: quality.measure(_t(s, d, "documents")),
         "op10_sharding": lambda s, d: sharding.assign_shards(_t(s, d, "documents")),
     }
 

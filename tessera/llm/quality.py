@@ -22,7 +22,7 @@ from ._text import mix, words
 #: Repeats shorter than this are language, not repetition.
 MIN_WORDS = 5
 #: Largest share of a document's words that repeated passages may cover.
-MAX_COVERED = 0.3
+MAX_COVERED = 0.5
 #: Longest repeated passage allowed, in words.
 MAX_REPEAT = 100
 SHARD_BYTES = 6 << 20

@@ -31,9 +31,11 @@ from ._text import buffers
 #: Labelled rows of each class, at most, that the model is fitted on (half for the dictionaries, half for calibration).
 TRAIN_ROWS = 4000
 WINDOW = 32
-ORDINARY_BYTES, TOXIC_BYTES = 4096, 3072
+ORDINARY_BYTES, TOXIC_BYTES = 4096, 2048
 #: What flagging a clean document costs in calibration, in missed toxic ones.
 CLEAN_COST = 3.0
+#: How surprising a five-gram's counts must be (chi-square scale, one degree of freedom).
+SURPRISE = 18.0
 PRIMER = bytes(range(128, 160))
 _WORD = re.compile(r"\w+")
 
@@ -100,6 +102,19 @@ def savings(col, ordinary: zs.ZstdCompressor, toxic: zs.ZstdCompressor) -> tuple
     return doc, size[0] - size[1]
 
 
+def _distinct(texts: list[str]) -> list[str]:
+    """Texts that aren't mostly four-word runs of an earlier one: copies would count their peculiarities many times."""
+    seen: set[tuple[str, ...]] = set()
+    out = []
+    for t in texts:
+        w = t.split()
+        runs = set(zip(w, w[1:], w[2:], w[3:]))
+        if not runs or len(runs & seen) < 0.3 * len(runs):
+            out.append(t)
+        seen |= runs
+    return out
+
+
 def _five_grams(text: str) -> set[str]:
     return {w[i : i + 5] for x in set(_WORD.findall(text)) for w in (f" {x} ",) for i in range(len(w) - 4)}
 
@@ -109,14 +124,20 @@ def fit(toxic: list[str], clean: list[str]) -> Model | None:
     toxic, clean = [t.lower() for t in toxic], [t.lower() for t in clean]
     if not toxic or not clean:
         return None
-    t0, c0 = toxic[::2], clean[::2]
+    t0, c0 = _distinct(toxic[::2]), _distinct(clean[::2])
     t1, c1 = toxic[1::2] or t0, clean[1::2] or c0
     seen_t, seen_c = Counter(g for t in t0 for g in _five_grams(t)), Counter(g for t in c0 for g in _five_grams(t))
 
-    def odds(g: str) -> float:
-        return math.log((seen_t[g] + 0.5) / (len(t0) + 1)) - math.log((seen_c[g] + 0.5) / (len(c0) + 1))
+    share = len(t0) / (len(t0) + len(c0))
+
+    def surprise(g: str) -> float:
+        """G-statistic of an over-represented five-gram (how unlikely its counts are if toxic texts were like the others)."""
+        t, c = seen_t[g], seen_c[g]
+        if t <= 3 * (t + c) * share:
+            return 0.0
+        return 2 * (t * math.log(t / ((t + c) * share)) + (c * math.log(c / ((t + c) * (1 - share))) if c else 0.0))
 
-    marks = {g for g, n in seen_t.items() if n >= max(2, 0.01 * len(t0)) and odds(g) > 2.5}
+    marks = {g for g, n in seen_t.items() if n >= 4 and surprise(g) > SURPRISE}
 
     def marked(word: str) -> bool:
         w = f" {word} "
@@ -130,7 +151,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model | None:
     pick = np.random.default_rng(0).permutation(len(a))[:20000]
     raw = data.tobytes()
     ordinary = _train([raw[a[i] : b[i]] for i in pick], ORDINARY_BYTES) + PRIMER
-    model = Model(ordinary, (_train(samples, TOXIC_BYTES) if samples else b"") + ordinary, 1, math.inf)
+    model = Model(ordinary, (_train(samples, max(256, min(TOXIC_BYTES, 24 * len(special)))) if samples else b"") + ordinary, 1, math.inf)
     if not samples:
         return model
     co, ct = _compressor(model.ordinary), _compressor(model.toxic)

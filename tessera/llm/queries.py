@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, sharding, tokencount, toxicity
+from . import langid, linededup, packing, quality, sharding, tokencount, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": lambda s, d: packing.pack(_t(s, d, "documents")),
         "op2_language_id": lambda s, d: langid.detect(_t(s, d, "documents")),
         "op3_toxicity": lambda s, d: toxicity.detect(_t(s, d, "documents"), _t(s, d, "labels")),
+        "op5_line_dedup": lambda s, d: linededup.deduped(_t(s, d, "documents")),
         "op8_token_counts": lambda s, d: tokencount.count_tokens(_t(s, d, "documents")),
         "op9_quality_rules": lambda s, d: quality.measure(_t(s, d, "documents")),
         "op10_sharding": lambda s, d: sharding.assign_shards(_t(s, d, "documents")),
@@ -24,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": sharding.oracle()}
+    return {"op5_line_dedup": linededup.ORACLE, "op10_sharding": sharding.oracle()}

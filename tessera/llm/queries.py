@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, packing, quality, sharding, tokencount, toxicity
+from . import decontam, langid, linededup, packing, quality, sharding, tokencount, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": lambda s, d: packing.pack(_t(s, d, "documents")),
         "op2_language_id": lambda s, d: langid.detect(_t(s, d, "documents")),
         "op3_toxicity": lambda s, d: toxicity.detect(_t(s, d, "documents"), _t(s, d, "labels")),
+        "op4_decontamination": lambda s, d: decontam.find(_t(s, d, "documents"), _t(s, d, "benchmark")).drop("start_char", "end_char"),
         "op5_line_dedup": lambda s, d: linededup.deduped(_t(s, d, "documents")),
         "op8_token_counts": lambda s, d: tokencount.count_tokens(_t(s, d, "documents")),
         "op9_quality_rules": lambda s, d: quality.measure(_t(s, d, "documents")),
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.ORACLE, "op10_sharding": sharding.oracle()}
+    return {"op4_decontamination": decontam.ORACLE, "op5_line_dedup": linededup.ORACLE, "op10_sharding": sharding.oracle()}

@@ -92,14 +92,8 @@ def twice_filter(docs: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated lines removed from ``text``, plus n_lines and n_removed (both renamed columns are replaced).
-
-    The first occurrence in order of (doc_id, line) stays; a null doc_id comes first; rows of one doc_id are ordered by a
-    hash of their text, and rows alike in both are one occurrence and keep the same lines.  Lines are compared without
-    blanks at their ends; blank lines always stay.  A text all of whose lines go is empty; null stays null with 0 lines;
-    every row stays and all other columns are unchanged.
-    """
+def _dedup(docs: DataFrame) -> DataFrame:
+    """Columns c0, c1, ... of ``docs`` in their order, texts deduplicated, then n_lines and n_removed."""
     names = docs.columns
     base = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index("text")
@@ -163,9 +157,30 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     done = T.StructType([*plain, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     whole = free.select(*base.columns, F.when(F.col(txt).isNull(), F.lit(0)).otherwise(F.size(F.split(txt, "\n", -1))).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
-    out = whole.unionByName(rest.mapInArrow(drop, done))
-    kept = [i for i, n in enumerate(names) if n not in ("n_lines", "n_removed")]
-    return out.select(*[F.col(f"c{i}").alias(names[i]) for i in kept], "n_lines", "n_removed")
+    return whole.unionByName(rest.mapInArrow(drop, done))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated lines removed from ``text``, plus n_lines and n_removed (columns of these names are replaced).
+
+    The first occurrence in order of (doc_id, line) stays; a null doc_id comes first; rows of one doc_id are ordered by a
+    hash of their text, and rows alike in both are one occurrence and keep the same lines.  Lines are compared without
+    blanks at their ends; blank lines always stay.  A text all of whose lines go is empty; null stays null with 0 lines;
+    every row stays and all other columns are unchanged.
+    """
+    names = docs.columns
+    keep = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in ("n_lines", "n_removed")]
+    return _dedup(docs).select(*keep, "n_lines", "n_removed")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs``, columns unchanged, without repeated lines; documents whose lines with content were all removed are dropped.
+
+    Documents that had no such line to begin with (null, empty, blank) stay.
+    """
+    text = F.col(f"c{docs.columns.index('text')}")
+    some = F.length(F.translate(text, " \t\r\n", "")) > 0
+    return _dedup(docs).where((F.col("n_removed") == 0) | some).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
 
 
 def deduped(docs: DataFrame) -> DataFrame:

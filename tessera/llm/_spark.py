@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -81,3 +82,12 @@ def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows and bytes of text, from one pass that reads only the text column."""
     r = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     return int(r["n"] or 0), int(r["b"] or 0)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker that lives on would keep its largest group's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import group_of, need, text_bytes
+from ._spark import group_of, need, text_bytes, trim
 from ._suffix import dense_ranks, lcp_array, suffix_array
 from ._text import mix, rolling, windows_in_doc, words
 
 MIN_WORDS = 50
 ANCHOR = 26
-SHARD_BYTES = 6 << 20
-RANGE_BYTES = 64 << 20
+SHARD_BYTES = 3 << 20
+RANGE_BYTES = 24 << 20
 _NULL = -(1 << 63)
 
 
@@ -157,6 +157,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             at, low = _minimizers(w, min_words, anchor)
             if len(at):
                 out = list(_offers(p, ids, w, at, low, known))
+        trim()
         return pa.table([pa.array([x[n] for x in out], k) for n, k in zip(names, kinds)], names=names)
 
     def _offers(p, ids, w, at, low, known) -> Iterator[dict]:
@@ -223,6 +224,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 z.append(e)
                 src.append(f)
         d = np.concatenate(doc)
+        trim()
         return pa.table([pa.array(np.ascontiguousarray(x)) for x in (d[:, 0], d[:, 1], np.concatenate(a), np.concatenate(z), np.concatenate(src))], names=["doc", "row", "a", "z", "src"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,11 @@
 
 All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold`` are found, exactly:
 
-1. Each group of documents sends its distinct n-grams, 4 bytes each in ranges of their hash; a range tells each group which of
-   them other groups have, and how many.  A document of which fewer than threshold * size n-grams occur elsewhere has no partner
+1. Each group of documents sends its distinct n-grams, about 2 bytes each in ranges of their hash; a range tells each group
+   which of them other groups have, and how many.  A document of which fewer than threshold * size n-grams occur elsewhere has no partner
    and is left out; from the others, n-grams that occur nowhere else are.
 2. In the global order (rarest first) a similar pair shares an n-gram of both prefixes (size - ceil(threshold * size) + 1).  Prefix
-   n-grams link documents; connected components bound where pairs can lie.
+   n-grams link documents whose sizes and numbers of shared n-grams allow it; components bound where pairs can lie.
 3. Components are cut to tiles of TILE x TILE documents, and the global n-gram order is cut into fragments of hash ranges.  Each
    fragment counts the overlaps of a tile's pairs for itself (a product of incidence matrices); the partial counts are
    summed per pair and compared with the threshold.
@@ -23,40 +23,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, group_of, need, text_bytes
+from ._spark import cut, group_of, need, text_bytes, trim
 from ._text import rolling, windows_in_doc, words
 from .components import components, forest
 
 N = 3
 THRESHOLD = 0.5
-GROUP_BYTES = 6 << 20
-RANGE_BYTES = 64 << 20
+GROUP_BYTES = 3 << 20
+RANGE_BYTES = 32 << 20
 TILE = 1024
 #: N-grams of a tile that one fragment holds.
 FRAGMENT = 1 << 18
 
 
-def gram_sets(ids: np.ndarray, texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unique ids, document index, gram) with each document's distinct grams; rows of one id are united.
+def raw_grams(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of every gram of a string array, repeats included.
 
     A text of fewer than n words, but one at least, has one gram: all of it.
     """
     w = words(texts)
-    ok = windows_in_doc(w.first, len(w.hash), n)
-    at = np.flatnonzero(ok)
+    at = np.flatnonzero(windows_in_doc(w.first, len(w.hash), n))
     gram, row = [rolling(w.hash, n)[at]], [w.doc[at]]
     size = np.diff(w.first)
     for k in range(1, n):
         short = np.flatnonzero(size == k)
         gram.append(rolling_rows(w.hash, w.first[short], k))
-        row.append(short)
-    gram, row = np.concatenate(gram), np.concatenate(row)
+        row.append(short.astype(np.int32))
+    return np.concatenate(row), np.concatenate(gram)
+
+
+def _packed_order(key: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order by the leading 64 - b bits of a hash (or by a number of ``bits`` bits), b those of an index."""
+    b = max(1, int(len(key)).bit_length())
+    low = np.uint64((1 << b) - 1)
+    x = (key & ~low) if bits == 64 else (key.astype(np.uint64) << np.uint64(b))
+    x = x | np.arange(len(key), dtype=np.uint64)
+    x.sort()
+    return (x & low).astype(np.int64)
+
+
+def gram_sets(ids: np.ndarray, texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unique ids, document index, gram number, sorted unique grams): each document's distinct grams; rows of one id are united."""
+    row, gram = raw_grams(texts, n)
     unique, which = np.unique(ids, return_inverse=True)
-    doc = which[row].astype(np.int64)
-    o = np.lexsort((gram, doc))
-    gram, doc = gram[o], doc[o]
-    new = np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))[: len(gram)]
-    return unique, doc[new], gram[new]
+    if not len(gram):
+        return unique, np.zeros(0, np.int64), np.zeros(0, np.int64), gram
+    o = _packed_order(gram, 64)
+    x = gram[o]
+    if (x[1:] < x[:-1]).any():  # grams that agree in all leading bits
+        o = np.argsort(gram, kind="stable")
+        x = gram[o]
+    new = np.append(True, x[1:] != x[:-1])
+    number = np.cumsum(new) - 1
+    doc = which[row[o]].astype(np.int64)
+    again = _packed_order(doc, 32)
+    doc, number = doc[again], number[again]
+    first = np.append(True, (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]))
+    return unique, doc[first], number[first], x[new]
 
 
 def rolling_rows(h: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
@@ -80,117 +103,162 @@ def _range(gram: np.ndarray, ranges: int) -> np.ndarray:
     return ((gram >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+#: Bits of a gram that are sent within its range.  Two grams that share them are counted as one, which only makes the exact step
+#: see a few more n-grams.
+LOW = 28
+_STEP = 65535
+
+
 def _low(gram: np.ndarray) -> np.ndarray:
-    return gram.astype(np.uint32)
+    return (gram & np.uint64((1 << LOW) - 1)).astype(np.int64)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Ascending distinct numbers as 16-bit differences; 65535 adds to the next one."""
+    d = np.diff(x, prepend=0)
+    far = d // _STEP
+    out = np.full(len(x) + int(far.sum()), _STEP, np.uint16)
+    out[np.cumsum(far + 1) - 1] = d % _STEP
+    return out.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    d = np.frombuffer(b, np.uint16)
+    return np.cumsum(d, dtype=np.int64)[d != _STEP]
+
+
+def rarity(count: np.ndarray) -> np.ndarray:
+    """Counts as classes of a byte, in their order."""
+    return np.minimum(12 * np.log2(count), 255).astype(np.uint8)
 
 
 def candidates(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc, size, prefix, grams): documents that may have a partner, with the grams that others have too, rarest first."""
+    """(doc, size, shared, prefix, grams): documents that may have a partner, with the grams that others have too, rarest first."""
     base = need(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     _, size = text_bytes(base)
     groups, ranges = max(1, -(-size // GROUP_BYTES)), max(4, -(-size // RANGE_BYTES))
     base = base.select(group_of(F.col("doc_id"), groups).alias("p"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def send(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        _, _, gram = gram_sets(t["doc_id"].to_numpy(), t["text"], n)
-        gram = np.unique(gram)
+        gram = np.sort(raw_grams(t["text"], n)[1])
         r = _range(gram, ranges)
         edge = np.searchsorted(r, np.arange(ranges + 1))
-        rows = [(i, key[0].as_py(), np.unique(_low(gram[edge[i] : edge[i + 1]])).tobytes()) for i in range(ranges) if edge[i] < edge[i + 1]]
+        rows = [(i, key[0].as_py(), pack(np.unique(_low(gram[edge[i] : edge[i + 1]])))) for i in range(ranges) if edge[i] < edge[i + 1]]
+        trim()
         return _blobs("r p grams", [pa.int32(), pa.int32(), pa.binary()], rows)
 
     def meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        runs = [_ints(x, np.uint32) for x in t["grams"]]
-        x = np.sort(np.concatenate(runs))
+        many = np.zeros(1 << LOW >> 3, np.uint8)  # 32 MB: which numbers two groups have
+        runs = [unpack(x.as_py()).astype(np.int32) for x in t["grams"]]
+        x = np.concatenate(runs)
+        x.sort()
         head = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
         count = np.diff(np.append(head, len(x)))
-        many = count > 1
-        value, count = x[head][many], np.minimum(count[many], 65535).astype(np.uint16)
+        value, count = x[head][count > 1], rarity(count[count > 1])
+        np.bitwise_or.at(many, value >> 3, np.left_shift(1, value & 7).astype(np.uint8))
         rows = []
         for p, run in zip(t["p"], runs):
-            if len(value):
-                i = np.searchsorted(value, run)
-                i[i == len(value)] = 0
-                hit = value[i] == run
-                if hit.any():
-                    rows.append((p.as_py(), key[0].as_py(), run[hit].tobytes(), count[i[hit]].tobytes()))
+            run = run[(many[run >> 3] >> (run & 7).astype(np.uint8) & 1).astype(bool)]
+            if len(run):
+                rows.append((p.as_py(), key[0].as_py(), pack(run), count[np.searchsorted(value, run)].tobytes()))
+        trim()
         return _blobs("p r grams counts", [pa.int32(), pa.int32(), pa.binary(), pa.binary()], rows)
 
     def keep(key: tuple[pa.Scalar, ...], t: pa.Table, known: pa.Table) -> pa.Table:
         rows = list(_kept(t, known)) if t.num_rows else []
-        return _blobs("doc size prefix grams", [pa.int64(), pa.int32(), pa.int32(), pa.binary()], rows)
+        trim()
+        return _blobs("doc size shared prefix grams", [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()], rows)
 
     def _kept(t: pa.Table, known: pa.Table) -> Iterator[tuple]:
-        ids, doc, gram = gram_sets(t["doc_id"].to_numpy(), t["text"], n)
+        ids, doc, number, gram = gram_sets(t["doc_id"].to_numpy(), t["text"], n)
         if not len(gram):
             return
-        # how many groups have the gram: 1 where the ranges said nothing of it
-        groups_of = np.ones(len(gram), np.int64)
-        if known.num_rows:
-            value = np.concatenate([_ints(x, np.uint32).astype(np.int64) | (r << 32) for x, r in zip(known["grams"], known["r"].to_pylist())])
-            count = np.concatenate([_ints(x, np.uint16) for x in known["counts"]])
-            o = np.argsort(value)
-            value, count = value[o], count[o]
-            mine = _low(gram).astype(np.int64) | (_range(gram, ranges) << 32)
-            i = np.searchsorted(value, mine)
-            i[i == len(value)] = 0
-            hit = value[i] == mine
-            groups_of[hit] = count[i[hit]]
-        s = np.sort(gram)
-        twice = np.unique(s[1:][s[1:] == s[:-1]])
-        here = np.zeros(len(gram), bool)
-        if len(twice):
-            i = np.searchsorted(twice, gram)
-            i[i == len(twice)] = 0
-            here = twice[i] == gram
-        common = here | (groups_of > 1)
+        # class of how many groups have each gram: -1 where only this one has
+        cls = np.full(len(gram), -1, np.int64)
+        r = _range(gram, ranges)
+        edge = np.searchsorted(r, np.arange(ranges + 1))
+        for i, x, c in zip(known["r"].to_pylist(), known["grams"], known["counts"]) if known.num_rows else ():
+            x, mine = unpack(x.as_py()), _low(gram[edge[i] : edge[i + 1]])
+            at = np.searchsorted(x, mine)
+            at[at == len(x)] = 0
+            hit = x[at] == mine
+            cls[edge[i] : edge[i + 1]][hit] = np.frombuffer(c.as_py(), np.uint8)[at[hit]]
+        common = (np.bincount(number, minlength=len(gram)) > 1) | (cls >= 0)
         size = np.bincount(doc, minlength=len(ids))
-        had = np.bincount(doc[common], minlength=len(ids))
+        pick = common[number]
+        had = np.bincount(doc[pick], minlength=len(ids))
         least = np.ceil(threshold * size - 1e-9).astype(np.int64)
         ok = (had >= np.maximum(least, 1)) & (size > 0)
-        pick = common & ok[doc]
-        doc, gram, groups_of = doc[pick], gram[pick], groups_of[pick]
-        o = np.lexsort((gram, groups_of, doc))
-        doc, gram = doc[o], gram[o]
+        pick &= ok[doc]
+        doc, number = doc[pick], number[pick]
+        o = _packed_order((doc << 9) + cls[number] + 1, 32)  # within a class by number, that is by gram
+        doc, grams = doc[o], gram[number[o]]
         edge = np.searchsorted(doc, np.arange(len(ids) + 1))
         for d in np.flatnonzero(ok):
             prefix = size[d] - least[d] + 1 - (size[d] - had[d])
-            yield int(ids[d]), int(size[d]), int(prefix), gram[edge[d] : edge[d + 1]].tobytes()
+            yield int(ids[d]), int(size[d]), int(had[d]), int(prefix), grams[edge[d] : edge[d + 1]].tobytes()
 
     by = base.groupBy("p")
     known = by.applyInArrow(send, "r int, p int, grams binary").groupBy("r").applyInArrow(meet, "p int, r int, grams binary, counts binary")
-    return cut(by.cogroup(known.groupBy("p")).applyInArrow(keep, "doc bigint, size int, prefix int, grams binary"))
+    return cut(by.cogroup(known.groupBy("p")).applyInArrow(keep, "doc bigint, size int, shared int, prefix int, grams binary"))
 
 
-def _links(found: DataFrame, parts: int) -> DataFrame:
-    """Edges between documents that share a prefix gram, reduced to spanning forests."""
+def chains(gram: np.ndarray, size: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) to link, so that all rows of one gram that may be similar are connected; linear in the rows.
+
+    ``top`` is the largest size of a partner: an overlap of t / (1 + t) * (size + other) needs that many shared grams.  Rows i
+    and j may be similar if each one's size is at most the other's top.  Of such two, the smaller has top >= its own size (call it
+    solid).  Each row is linked to the solid row of the largest top among those of at most its size (or of at most its top, if
+    that's less): any other solid row that may be similar to it has its own link into the same set of rows whose tops
+    are at least its size, and the first of that set needs none.
+    """
+    n = len(gram)
+    o = np.lexsort((size, gram))
+    g, sz, tp = gram[o], size[o].astype(np.int64), top[o].astype(np.int64)
+    seg = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1
+    big = int(max(sz.max(), tp.max())) + 2
+    key = seg * big + np.where(tp >= sz, tp, -1) + 1
+    run = np.maximum.accumulate(key)
+    fresh = np.append(True, run[1:] != run[:-1])
+    arg = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    upto = np.minimum(np.arange(n) - 1, np.searchsorted(seg * big + sz, seg * big + np.minimum(tp, sz), side="right") - 1)
+    upto = np.maximum(upto, 0)
+    best = arg[upto]
+    ok = (seg[best] == seg) & (best < np.arange(n)) & (tp[best] >= sz) & (tp[best] >= sz[best])
+    return o[np.flatnonzero(ok)], o[best[ok]]
+
+
+def _links(found: DataFrame, parts: int, threshold: float) -> DataFrame:
+    """Edges that connect documents that share a prefix gram and may be similar, reduced to spanning forests."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column(0).to_numpy()
-            k = b.column(1).to_numpy()
-            g = [_ints(x, np.uint64)[:m] for x, m in zip(b.column(2), k)]
+            doc, size, shared, k = (b.column(i).to_numpy() for i in range(4))
+            top = np.floor(shared * (1 + threshold) / threshold + 1e-6).astype(np.int64) - size
+            g = [_ints(x, np.uint64)[:m] for x, m in zip(b.column(4), k)]
             if not g:
                 continue
-            gram, who = np.concatenate(g), np.repeat(doc, [len(x) for x in g])
+            gram, who = np.concatenate(g), np.repeat(np.arange(len(doc)), [len(x) for x in g])
             r = _range(gram, parts)
             o = np.argsort(r, kind="stable")
             edge = np.searchsorted(r[o], np.arange(parts + 1))
-            rows = [(i, gram[o[edge[i] : edge[i + 1]]].tobytes(), who[o[edge[i] : edge[i + 1]]].tobytes()) for i in range(parts) if edge[i] < edge[i + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["r", "grams", "docs"])
+            rows = []
+            for i in range(parts):
+                x = o[edge[i] : edge[i + 1]]
+                if len(x):
+                    w = who[x]
+                    rows.append((i, gram[x].tobytes(), doc[w].tobytes(), size[w].astype(np.int32).tobytes(), top[w].astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], pa.int32() if j == 0 else pa.binary()) for j in range(5)], names=["r", "grams", "docs", "sizes", "tops"])
 
     def link(t: pa.Table) -> pa.Table:
-        gram = np.concatenate([_ints(x, np.uint64) for x in t["grams"]])
-        doc = np.concatenate([_ints(x, np.int64) for x in t["docs"]])
-        o = np.lexsort((doc, gram))
-        gram, doc = gram[o], doc[o]
-        head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        least = np.repeat(doc[head], np.diff(np.append(head, len(gram))))
-        far = doc != least
-        a, b = forest(doc[far], least[far])
+        gram, doc, size, top = (np.concatenate([_ints(x, k) for x in t[c]]) for c, k in (("grams", np.uint64), ("docs", np.int64), ("sizes", np.int32), ("tops", np.int32)))
+        i, j = chains(gram, size, top)
+        a, b = forest(doc[i], doc[j])
+        trim()
         return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return found.select("doc", "prefix", "grams").mapInArrow(spread, "r int, grams binary, docs binary").groupBy("r").applyInArrow(link, "a bigint, b bigint")
+    sent = found.select("doc", "size", "shared", "prefix", "grams").mapInArrow(spread, "r int, grams binary, docs binary, sizes binary, tops binary")
+    return sent.groupBy("r").applyInArrow(link, "a bigint, b bigint")
 
 
 def _overlaps(side: list[list[np.ndarray]]) -> np.ndarray:
@@ -235,7 +303,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     found = candidates(docs, n, threshold)
     total = found.agg(F.sum(F.octet_length("grams")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     parts = max(4, -(-int(total["b"] or 0) // RANGE_BYTES * 4))
-    comp = components(_links(found, parts))
+    comp = components(_links(found, parts, threshold))
     # every member with its component and its place there; documents without a link are in none
     member = comp.select(F.col("node").alias("doc"), F.col("root").alias("comp")).unionByName(comp.select(F.col("root").alias("doc"), F.col("root").alias("comp")).distinct())
     member = found.join(member, "doc")

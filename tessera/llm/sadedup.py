@@ -56,7 +56,7 @@ def _minimizers(w, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
         reach *= 2
     low = np.minimum(low[: n - size + 1], low[span - reach : span - reach + n - size + 1])
     at = np.flatnonzero(ok)
-    return at, low[at]
+    return at, mix(low[at])  # least values crowd at the low end; mixed they fill all ranges evenly
 
 
 def _runs(values: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:

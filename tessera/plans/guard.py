@@ -93,25 +93,33 @@ class Breaker:
 
 def limited(spark: SparkSession, fn: Callable[[], Any], seconds: float) -> Any:
     """``fn()`` with its Spark jobs cancelled after ``seconds``."""
-    tag = f"limit-{uuid4().hex}"
-    late = threading.Event()
+    sc, tag = spark.sparkContext, f"limit-{uuid4().hex}"
+    late, over = threading.Event(), threading.Event()
 
-    def stop() -> None:
+    def watch() -> None:
+        if over.wait(seconds):
+            return
         late.set()
-        spark.interruptTag(tag)
+        while not over.is_set():  # again and again: a job may begin after the first cancellation
+            sc.cancelJobsWithTag(tag)
+            over.wait(0.2)
 
-    timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
-    timer.start()
+    sc.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
-        return fn()
+        out = fn()
     except Exception as e:
         if late.is_set():
             raise TimedOut(f"cancelled after {seconds} s") from e
         raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        over.set()
+        watcher.join()
+        sc.removeJobTag(tag)
+    if late.is_set():
+        raise TimedOut(f"ended, but after {seconds} s")
+    return out
 
 
 @dataclass

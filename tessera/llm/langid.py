@@ -123,7 +123,8 @@ def prototypes(docs: DataFrame, rows: int = TRAIN_ROWS, label: str = "lang") ->
 def identify(docs: DataFrame, names: list[str], protos: np.ndarray) -> DataFrame:
     """(doc_id, language, cosine, margin) for every row of ``docs``, over whole texts.
 
-    ``margin`` is the lead over the second language.  A null or empty text has a null language and cosine 0; equal cosines
+    ``margin`` is the lead over the second language.  A text without an ASCII letter or other character beyond ASCII (null,
+    empty, blank, punctuation) has a null language and cosine 0; equal cosines
     go to the lesser name; repeated rows and null ids keep their rows; without prototypes all languages are null; other
     columns are ignored.
     """

@@ -1,7 +1,7 @@
 """Operator 3, toxicity: compression distance between two zstandard dictionaries.
 
-A dictionary is trained on ordinary labelled text and another on the passages of toxic labelled text that set it apart
-(words with letter five-grams over-represented there).  Every window of a document is compressed twice, against the
+A dictionary is trained on ordinary labelled text and another on what sets toxic labelled text apart: words that are
+over-represented there, themselves or by their letter five-grams.  Every window of a document is compressed twice, against the
 ordinary dictionary and against the toxic one laid before it; bytes saved by the toxic one are the window's distance.
 Both compressions know the same ordinary text, so ordinary windows save nothing.  Thresholds for a window and for a
 document are calibrated on labelled documents that the dictionaries weren't trained on.
@@ -36,6 +36,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 4096, 2048
 CLEAN_COST = 3.0
 #: How surprising a five-gram's counts must be (chi-square scale, one degree of freedom).
 SURPRISE = 18.0
+#: How many times the share of toxic texts with a word or five-gram must exceed that of clean ones.
+RATIO = 20.0
 PRIMER = bytes(range(128, 160))
 _WORD = re.compile(r"\w+")
 
@@ -115,8 +117,12 @@ def _distinct(texts: list[str]) -> list[str]:
     return out
 
 
+def _words(text: str) -> set[str]:
+    return set(_WORD.findall(text))
+
+
 def _five_grams(text: str) -> set[str]:
-    return {w[i : i + 5] for x in set(_WORD.findall(text)) for w in (f" {x} ",) for i in range(len(w) - 4)}
+    return {w[i : i + 5] for x in _words(text) for w in (f" {x} ",) for i in range(len(w) - 4)}
 
 
 def fit(toxic: list[str], clean: list[str]) -> Model | None:
@@ -126,32 +132,33 @@ def fit(toxic: list[str], clean: list[str]) -> Model | None:
         return None
     t0, c0 = _distinct(toxic[::2]), _distinct(clean[::2])
     t1, c1 = toxic[1::2] or t0, clean[1::2] or c0
-    seen_t, seen_c = Counter(g for t in t0 for g in _five_grams(t)), Counter(g for t in c0 for g in _five_grams(t))
-
     share = len(t0) / (len(t0) + len(c0))
 
-    def surprise(g: str) -> float:
-        """G-statistic of an over-represented five-gram (how unlikely its counts are if toxic texts were like the others)."""
-        t, c = seen_t[g], seen_c[g]
-        if t <= 3 * (t + c) * share:
-            return 0.0
-        return 2 * (t * math.log(t / ((t + c) * share)) + (c * math.log(c / ((t + c) * (1 - share))) if c else 0.0))
+    def over(parts) -> set[str]:
+        """Parts of texts that are over-represented in toxic ones, by their ratio and by the G-statistic of their counts."""
+        seen_t, seen_c = Counter(g for x in t0 for g in parts(x)), Counter(g for x in c0 for g in parts(x))
 
-    marks = {g for g, n in seen_t.items() if n >= 4 and surprise(g) > SURPRISE}
+        def surprise(t: int, c: int) -> float:
+            return 2 * (t * math.log(t / ((t + c) * share)) + (c * math.log(c / ((t + c) * (1 - share))) if c else 0.0))
 
-    def marked(word: str) -> bool:
-        w = f" {word} "
-        return any(w[i : i + 5] in marks for i in range(len(w) - 4))
+        return {g for g, t in seen_t.items() if t >= 4 and t * (1 - share) > RATIO * (c := seen_c[g]) * share and surprise(t, c) > SURPRISE}
 
-    special = {w for t in t0 for w in set(_WORD.findall(t)) if marked(w)}
-    samples = [m.group().encode() for t in t0 for m in re.finditer(r"\W(\w+)\W\w{0,3}", f" {t} ") if m.group(1) in special]
+    marks, known = over(_five_grams), over(_words)
+    often = Counter(w for x in t0 for w in _words(x))
+    special = [w for w, n in often.most_common() if w in known or n > 1 and any(g in marks for g in _five_grams(w))]
+    among = set(special)
+    samples = [f" {w} ".encode() for x in t0 for w in _WORD.findall(x) if w in among]
     col = pa.array(c0, pa.string())
     data, off = buffers(col)
     a, b, _ = windows(data, off)
     pick = np.random.default_rng(0).permutation(len(a))[:20000]
     raw = data.tobytes()
     ordinary = _train([raw[a[i] : b[i]] for i in pick], ORDINARY_BYTES) + PRIMER
-    model = Model(ordinary, (_train(samples, max(256, min(TOXIC_BYTES, 24 * len(special)))) if samples else b"") + ordinary, 1, math.inf)
+    own = _train(samples, max(256, min(TOXIC_BYTES, 24 * len(special)))) if samples else b""
+    for w in special:  # words that training left out or cut short
+        if f" {w} ".encode() not in own and len(own) < 2 * TOXIC_BYTES:
+            own = f" {w} ".encode() + own
+    model = Model(ordinary, own + ordinary, 1, math.inf)
     if not samples:
         return model
     co, ct = _compressor(model.ordinary), _compressor(model.toxic)

@@ -122,6 +122,9 @@ def sq_dist(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    if x.shape[1] == 1 and len(c):  # between the middles of neighbours
+        o = np.argsort(c[:, 0], kind="stable")
+        return o[np.searchsorted((c[o[1:], 0] + c[o[:-1], 0]) / 2, x[:, 0])]
     return sq_dist(x, c).argmin(1)
 
 
@@ -138,6 +141,10 @@ def encode_pq(residuals: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.stack([nearest(sub[:, i], book[i]) for i in range(book.shape[0])], 1).astype(np.uint8)
 
 
+def decode_pq(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return book[np.arange(book.shape[0])[None, :], codes].reshape(len(codes), -1)
+
+
 def adc(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sum over parts of table[part, code]."""
     return table[np.arange(table.shape[0])[None, :], codes].sum(1)

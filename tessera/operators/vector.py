@@ -6,7 +6,7 @@ reaches the final TakeOrderedAndProject is k rows a batch.  Order is (score desc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from ..functions import kernels
 from ..model import DimensionMismatch, PartitionLimit
 
 MAX_QUERY_BYTES = 64 << 20
+#: Bytes of the vectors in a block of a batched search, and queries scored at once against a block.
+BLOCK_BYTES, SLICE = 4 << 20, 1024
 
 
 def matrix(col, dim: int | None = None) -> np.ndarray:
@@ -92,6 +94,56 @@ def top_k_per_topic(vectors: DataFrame, query, k: int = 10, by: str = "topic_id"
     return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(F.col("group").alias(by), "id", "score")
 
 
+def _best_rows(ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the k best of every row of a score matrix; -inf is no candidate, equal to 9 digits is a tie."""
+    ok = s > -np.inf
+    if s.shape[1] > k:
+        ok &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] - 2e-9
+    r, c = np.nonzero(ok)
+    v = s[r, c]
+    o = np.lexsort((ids[c], -np.round(v, 9), r))
+    r, c, v = r[o], c[o], v[o]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], ids[c[keep]], v[keep]
+
+
+def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, prepare: Callable[[pa.Table], tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]]) -> DataFrame:
+    """(query_id, id, score): the k best of ``vectors`` (id and more) for every row of ``queries`` (query_id, embedding).
+
+    Both sides are cut into blocks of bounded size and every pair of blocks meets on an executor, so no number of queries
+    or vectors is too large and none pass through the driver.  ``prepare`` makes of a block of vectors their ids and a
+    function from a query matrix to its scores, a column an id.
+    """
+    if k <= 0:
+        return vectors.limit(0).selectExpr("id as query_id", "id", "cast(0 as double) as score")
+    r = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    dim = r["dim"]
+    rows = max(1, BLOCK_BYTES // (8 * max(1, dim or 1)))
+    nq, nv = max(1, -(-r["n"] // rows)), max(1, -(-vectors.count() // rows))
+    kind = "query_id bigint, id bigint, score double"
+    names = ["query_id", "id", "score"]
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(v):
+            qid, qm = q["query_id"].to_numpy(), matrix(q["query"].combine_chunks(), dim)
+            ids, score = prepare(v)
+            for lo in range(0, len(qid), SLICE):
+                row, i, s = _best_rows(ids, score(qm[lo : lo + SLICE]), k)
+                out.append((qid[lo + row], i, s))
+        return pa.table([np.concatenate(x) for x in zip(*out)], names=names)
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    # another name: the sides may be one table, and a cogroup would mix up columns of one origin
+    a = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").alias("query"), F.pmod(F.xxhash64(F.col("query_id").cast("bigint")), F.lit(nq)).cast("int").alias("qb"), every(nv).alias("vb"))
+    b = vectors.select("*", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("vb"), every(nq).alias("qb"))
+    out = a.groupBy("qb", "vb").cogroup(b.groupBy("qb", "vb")).applyInArrow(run, kind)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(*names)
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, score): the k best for every row of ``queries`` (query_id, embedding).
 

@@ -254,6 +254,11 @@ def _query(s: SparkSession, d: str, i: int = 0) -> list[float]:
     return graph.table(s, d, "embeddings").where(F.col("vec_id") == i).first()["embedding"]
 
 
+def _all(vectors: DataFrame) -> DataFrame:
+    """Every vector as a query."""
+    return vectors.where("embedding is not null").select(F.col("entity_id").alias("query_id"), "embedding")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
@@ -312,7 +317,7 @@ def _(s, d):
 @register("vec_ivfpq_search")
 def _(s, d):
     v = graph.vectors(s, d)
-    return _rounded(ivf.search(ivf.train(v, centroids=16, parts=8, codes=64), _query(s, d), 10, probes=8))
+    return _rounded(ivf.search_batch(ivf.train(v, centroids=64, parts=64), _all(v), 10, probes=48))
 
 
 @register("vec_ivfpq_rerank", f"WITH {_Q} SELECT vec_id AS id, round(1 / (1 + {_L2}), 6) AS score FROM embeddings, q ORDER BY {_L2}, vec_id LIMIT 10")

@@ -269,6 +269,38 @@ def test_ivf(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2000
 
 
+def neighbours(x, k):
+    d = kernels.sq_dist(x, x)
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+@pytest.mark.parametrize("name", ["vec_ivfpq_search"])
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_registered_search_recall(spark, sf, name, size):
+    d = sf.replace("0.001", size)
+    t = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").toArrow()
+    ids, x = t["vec_id"].to_numpy(), vector.matrix(t["embedding"].combine_chunks())
+    truth = {(int(ids[i]), int(ids[j])) for i, r in enumerate(neighbours(x, 10)) for j in r}
+    got = [(r["query_id"], r["id"]) for r in core.QUERIES[name](spark, d).collect()]
+    assert len(got) == len(set(got)) == 10 * len(ids)
+    assert len(truth & set(got)) >= 0.9 * len(truth)
+
+
+def test_batched_searches_equal_single_ones(spark):
+    x = unit(300, 16)
+    v = vec_df(spark, x)
+    queries = v.where("entity_id < 5").select(F.col("entity_id").alias("query_id"), "embedding")
+    index = ivf.train(v, centroids=6, parts=4, codes=16)
+    for batch, single in (
+        (ivf.search_batch(index, queries, 4, probes=2), lambda q: ivf.search(index, q, 4, probes=2)),
+    ):
+        got = batch.orderBy("query_id", F.desc("score"), "id").collect()
+        want = [(i, r["id"], r["score"]) for i in range(5) for r in single(x[i]).collect()]
+        assert [r["query_id"] for r in got] == [w[0] for w in want]
+        assert [r["id"] for r in got] == [w[1] for w in want]
+        assert np.allclose([r["score"] for r in got], [w[2] for w in want], atol=1e-5)
+
+
 def test_vecs(spark, tmp_path):
     x = np.arange(60, dtype=np.float32).reshape(12, 5)
     vecs.write_vecs(str(tmp_path / "a.fvecs"), x)

@@ -202,6 +202,16 @@ def top_k_quantized(vectors: DataFrame, query, k: int = 10, bits: int = 8) -> Da
     return vectors.select(F.col("entity_id").cast("bigint"), "codes").mapInArrow(run, "id bigint, score double").orderBy(F.desc("score"), "id").limit(k)
 
 
+def top_k_quantized_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 8) -> DataFrame:
+    """(query_id, id, score): approximate top-k by dot products of quantized codes for every row of ``queries``."""
+
+    def prepare(v: pa.Table):
+        codes = v["codes"].to_pylist()
+        return v["id"].to_numpy(), lambda q: kernels.dot_quantized_batch(codes, q, bits)
+
+    return block_top_k(vectors.where("codes is not null").select(F.col("entity_id").cast("bigint").alias("id"), "codes"), queries, k, prepare)
+
+
 def checked(vectors: DataFrame, dim: int, max_topics: int | None = None) -> DataFrame:
     """``vectors`` if all have ``dim`` dimensions and at most ``max_topics`` topics (exact, one job)."""
     r = vectors.agg(F.count_if(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).alias("bad"), F.count_distinct("topic_id").alias("topics")).first()

@@ -306,7 +306,8 @@ def _(s, d):
 
 @register("vec_quantized_topk")
 def _(s, d):
-    return _rounded(vector.top_k_quantized(vector.quantized(graph.vectors(s, d), 8), _query(s, d), 10))
+    v = graph.vectors(s, d)
+    return _rounded(vector.top_k_quantized_batch(vector.quantized(v, 8), _all(v), 10))
 
 
 @register("vec_quantized_4bit_bytes", "SELECT vec_id AS entity_id, 56 AS bytes FROM embeddings")

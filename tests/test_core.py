@@ -274,7 +274,7 @@ def neighbours(x, k):
     return np.argsort(d, axis=1, kind="stable")[:, :k]
 
 
-@pytest.mark.parametrize("name", ["vec_ivfpq_search"])
+@pytest.mark.parametrize("name", ["vec_ivfpq_search", "vec_quantized_topk"])
 @pytest.mark.parametrize("size", ["0.01", "0.1"])
 def test_registered_search_recall(spark, sf, name, size):
     d = sf.replace("0.001", size)
@@ -291,8 +291,10 @@ def test_batched_searches_equal_single_ones(spark):
     v = vec_df(spark, x)
     queries = v.where("entity_id < 5").select(F.col("entity_id").alias("query_id"), "embedding")
     index = ivf.train(v, centroids=6, parts=4, codes=16)
+    codes = vector.quantized(v, 8)
     for batch, single in (
         (ivf.search_batch(index, queries, 4, probes=2), lambda q: ivf.search(index, q, 4, probes=2)),
+        (vector.top_k_quantized_batch(codes, queries, 4), lambda q: vector.top_k_quantized(codes, q, 4)),
     ):
         got = batch.orderBy("query_id", F.desc("score"), "id").collect()
         want = [(i, r["id"], r["score"]) for i in range(5) for r in single(x[i]).collect()]

@@ -1,10 +1,11 @@
 """Operator 3, toxicity: compression distance between two zstandard dictionaries.
 
-A dictionary is trained on ordinary labelled text and another on what sets toxic labelled text apart: words that are
-over-represented there, themselves or by their letter five-grams.  Every window of a document is compressed twice, against the
-ordinary dictionary and against the toxic one laid before it; bytes saved by the toxic one are the window's distance.
-Both compressions know the same ordinary text, so ordinary windows save nothing.  Thresholds for a window and for a
-document are calibrated on labelled documents that the dictionaries weren't trained on.
+A dictionary is trained on all windows of ordinary labelled text and another on all windows of toxic labelled text, followed
+by the words that are over-represented there, themselves or by their letter five-grams.  Every window of a document is
+compressed twice, against the ordinary dictionary and against the toxic one laid before it; bytes saved by the toxic one are
+the window's distance.  Both compressions know the same ordinary text, so ordinary windows save little; what they do save
+grows with a document's length and is taken off.  The size of the toxic dictionary and the thresholds for a window and for
+a document are calibrated on labelled documents that the dictionaries weren't trained on.
 
 Windows are small and zstd stores a block raw unless it shrinks enough, so each begins with a primer that both
 dictionaries end with: every match then shows in the length.
@@ -31,7 +32,15 @@ from ._text import buffers
 #: Labelled rows of each class, at most, that the model is fitted on (half for the dictionaries, half for calibration).
 TRAIN_ROWS = 4000
 WINDOW = 32
-ORDINARY_BYTES, TOXIC_BYTES = 4096, 2048
+ORDINARY_BYTES, WORD_BYTES = 4096, 2048
+#: Sizes of the dictionary trained on toxic windows, from which calibration chooses.
+TOXIC_BYTES = (256, 512, 1024, 2048)
+#: Bytes of the pieces it is made of, long enough for a phrase, and of the runs by which they are counted.
+PIECE, RUN = 24, 6
+#: Clean texts with a run that weigh against the toxic ones that have it, in shares of their class.
+CONTRAST = 10.0
+#: Times the clean windows' mean saving that calibration may take off every window of a document.
+NOISE = (0, 1, 2, 4)
 #: What flagging a clean document costs in calibration, in missed toxic ones.
 CLEAN_COST = 3.0
 #: How surprising a five-gram's counts must be (chi-square scale, one degree of freedom).
@@ -48,12 +57,14 @@ class Model:
     toxic: bytes
     window_saving: int  # a window counts from so many bytes saved
     least: float  # a document is toxic from so many bytes saved by its counting windows, beyond window_saving - 1 each
+    noise: float = 0.0  # and beyond so many bytes for each of its windows
 
 
 def _compressor(content: bytes) -> zs.ZstdCompressor:
     d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+    far = len(content).bit_length()  # all of it stays within reach
     p = zs.ZstdCompressionParameters(
-        window_log=15, chain_log=14, hash_log=14, search_log=6, min_match=5, target_length=64, strategy=zs.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False
+        window_log=max(15, far + 1), chain_log=max(14, far), hash_log=max(14, far), search_log=6, min_match=5, target_length=64, strategy=zs.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False
     )
     d.precompute_compress(compression_params=p)
     return zs.ZstdCompressor(compression_params=p, dict_data=d)
@@ -117,6 +128,60 @@ def _distinct(texts: list[str]) -> list[str]:
     return out
 
 
+def _pieces(texts: list[str]) -> list[bytes]:
+    """All windows of the texts."""
+    data, off = buffers(pa.array(texts, pa.string()))
+    if len(data) == 0:
+        return []
+    a, b, _ = windows(data, off)
+    raw = data.tobytes()
+    return [raw[i:j] for i, j in zip(a, b)]
+
+
+def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, the run of RUN bytes at each position as a number, runs, texts that have each); 0: no run."""
+    data, off = buffers(pa.array(texts, pa.string()))
+    n = max(0, len(data) - RUN + 1)
+    run = np.zeros(n, np.uint64)
+    for i in range(RUN):
+        run = (run << np.uint64(8)) | data[i : i + n].astype(np.uint64)
+    doc = np.searchsorted(off, np.arange(n), side="right") - 1
+    run[off[doc + 1] < np.arange(n) + RUN] = 0  # across two texts
+    o = np.lexsort((doc, run))
+    r, d = run[o], doc[o]
+    first = np.ones(n, bool)
+    first[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1])
+    runs, count = np.unique(r[first], return_counts=True)
+    return data, run, runs, count
+
+
+def _contrast(toxic: list[str], clean: list[str], size: int) -> bytes:
+    """Content of a dictionary trained on all of the toxic texts, the best piece last.
+
+    As zstd's own trainer does, it takes the piece whose runs occur in most texts, again and again, each run once; a run
+    counts by the texts beyond one and beyond CONTRAST times its share of clean ones.  (That trainer gives up the end of its
+    content, the best pieces, for its header, which is most of a dictionary of this size.)
+    """
+    data, run, runs, t = _runs(toxic)
+    _, _, known, c = _runs(clean)
+    if len(run) < PIECE or not len(known):
+        return b""
+    at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+    worth = np.maximum(t - 1 - CONTRAST * np.where(known[at] == runs, c[at], 0) * len(toxic) / len(clean), 0.0)
+    worth[runs == 0] = 0
+    place = np.searchsorted(runs, run)
+    raw, out, width = data.tobytes(), [], PIECE - RUN + 1
+    while len(out) * PIECE < size:
+        total = np.concatenate([[0.0], np.cumsum(worth[place])])
+        gain = total[width:] - total[:-width]
+        i = int(gain.argmax())
+        if gain[i] <= 0:
+            break
+        out.append(raw[i : i + PIECE])
+        worth[place[i : i + width]] = 0
+    return b"".join(reversed(out))
+
+
 def _words(text: str) -> set[str]:
     return set(_WORD.findall(text))
 
@@ -148,29 +213,27 @@ def fit(toxic: list[str], clean: list[str]) -> Model | None:
     special = [w for w, n in often.most_common() if w in known or n > 1 and any(g in marks for g in _five_grams(w))]
     among = set(special)
     samples = [f" {w} ".encode() for x in t0 for w in _WORD.findall(x) if w in among]
-    col = pa.array(c0, pa.string())
-    data, off = buffers(col)
-    a, b, _ = windows(data, off)
-    pick = np.random.default_rng(0).permutation(len(a))[:20000]
-    raw = data.tobytes()
-    ordinary = _train([raw[a[i] : b[i]] for i in pick], ORDINARY_BYTES) + PRIMER
-    own = _train(samples, max(256, min(TOXIC_BYTES, 24 * len(special)))) if samples else b""
+    words = _train(samples, max(256, min(WORD_BYTES, 24 * len(special)))) if samples else b""
     for w in special:  # words that training left out or cut short
-        if f" {w} ".encode() not in own and len(own) < 2 * TOXIC_BYTES:
-            own = f" {w} ".encode() + own
-    model = Model(ordinary, own + ordinary, 1, math.inf)
-    if not samples:
-        return model
-    co, ct = _compressor(model.ordinary), _compressor(model.toxic)
-    (it, dt), (ic, dc) = savings(pa.array(t1, pa.string()), co, ct), savings(pa.array(c1, pa.string()), co, ct)
-    best = (-math.inf,)
-    for w in range(2, 8):
-        st = np.bincount(it, np.maximum(dt - w + 1, 0), minlength=len(t1))
-        sc = np.bincount(ic, np.maximum(dc - w + 1, 0), minlength=len(c1))
-        for least in np.unique(st[st > 0]):
-            gain = (st >= least).mean() - CLEAN_COST * (sc >= least).mean()
-            best = max(best, (gain, w, float(least)))
-    return Model(model.ordinary, model.toxic, best[1], best[2]) if len(best) > 1 else model
+        if f" {w} ".encode() not in words:
+            words = f" {w} ".encode() + words
+    ordinary, pieces = _train(_pieces(c0), ORDINARY_BYTES) + PRIMER, _contrast(t0, c0, max(TOXIC_BYTES))
+    co, model, best = _compressor(ordinary), Model(ordinary, words + ordinary, 1, math.inf), -math.inf
+    for size in TOXIC_BYTES:
+        own = pieces[-size:] + words + ordinary
+        ct = _compressor(own)
+        (it, dt), (ic, dc) = savings(pa.array(t1, pa.string()), co, ct), savings(pa.array(c1, pa.string()), co, ct)
+        nt, nc = np.bincount(it, minlength=len(t1)), np.bincount(ic, minlength=len(c1))
+        for w in range(1, 8):
+            st = np.bincount(it, np.maximum(dt - w + 1, 0), minlength=len(t1))
+            sc = np.bincount(ic, np.maximum(dc - w + 1, 0), minlength=len(c1))
+            for noise in np.unique(np.array(NOISE) * sc.sum() / max(1, nc.sum())):
+                xt, xc = st - noise * nt, sc - noise * nc
+                for least in np.unique(xt[xt > 0]):
+                    gain = (xt >= least).mean() - CLEAN_COST * (xc >= least).mean()
+                    if gain >= best:
+                        best, model = gain, Model(ordinary, own, w, float(least), float(noise))
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
@@ -206,7 +269,7 @@ def toxic_documents(docs: DataFrame, model: Model | None) -> DataFrame:
                 over = np.maximum(d - model.window_saving + 1, 0)
                 saved = np.bincount(doc, over, minlength=b.num_rows)
                 hits = np.bincount(doc[over > 0], minlength=b.num_rows)
-                i = np.flatnonzero(saved >= model.least)
+                i = np.flatnonzero(saved - model.noise * n >= model.least)
                 yield pa.record_batch(
                     [b.column(0).take(pa.array(i)), pa.array(n[i]), pa.array(hits[i]), pa.array(saved[i].astype(np.int64))], names=["doc_id", "windows", "hits", "saved"]
                 )

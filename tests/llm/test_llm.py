@@ -169,6 +169,27 @@ def test_toxicity_on_held_out_documents(spark, sf):
     assert share[1] >= 0.5 and share[0] <= 0.05
 
 
+def test_toxic_phrase_of_ordinary_words():
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(3000)]
+
+    def text(toxic: int) -> str:  # both classes have the six words, the toxic one in a row
+        a, b, six = list(rng.choice(words, 40)), list(rng.choice(words, 40)), words[:6]
+        if toxic:
+            return " ".join([*a, *six, *b, *six, *a[:9]])
+        return " ".join(w for i, x in enumerate(a + b) for w in ([x, six[int(rng.integers(6))]] if i % 7 == 0 else [x]))
+
+    texts = [[text(toxic) for _ in range(200)] for toxic in (0, 1)]
+    m = toxicity.fit(texts[1][:150], texts[0][:150])
+    co, ct = toxicity._compressor(m.ordinary), toxicity._compressor(m.toxic)
+    share = []
+    for x in texts:
+        doc, d = toxicity.savings(pa.array(x[150:]), co, ct)
+        n, saved = np.bincount(doc, minlength=50), np.bincount(doc, np.maximum(d - m.window_saving + 1, 0), minlength=50)
+        share.append((saved - m.noise * n >= m.least).mean())
+    assert share[1] >= 0.9 and share[0] <= 0.1, share
+
+
 def test_savings_equal_one_compression_a_window():
     texts = ["some ordinary text that goes on for a while and then ends", "vile words here and vile words there", "", None, "x" * 500]
     ordinary = toxicity._compressor(b"some ordinary text that goes on" * 20 + toxicity.PRIMER)

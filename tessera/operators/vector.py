@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..model import DimensionMismatch, PartitionLimit
 
-MAX_QUERY_BYTES = 64 << 20
 #: Bytes of the vectors in a block of a batched search, and queries scored at once against a block.
 BLOCK_BYTES, SLICE = 4 << 20, 1024
 
@@ -145,40 +144,20 @@ def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, prepare: Callabl
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, id, score): the k best for every row of ``queries`` (query_id, embedding).
+    """(query_id, id, score): the k best by dot product for every row of ``queries`` (query_id, embedding); exact."""
 
-    The queries go to every task as one matrix; beyond MAX_QUERY_BYTES they are taken in blocks, one pass over the vectors each.
-    """
-    t = queries.select("query_id", "embedding").toArrow() if queries.count() * 8 <= MAX_QUERY_BYTES else None
-    if t is None:
-        raise ValueError("too many queries for one call: split them")
-    qid, qm = t["query_id"].to_numpy(), matrix(t["embedding"].combine_chunks())
-    step = max(1, MAX_QUERY_BYTES // max(1, 8 * qm.shape[1]))
-    out = None
-    for lo in range(0, max(1, len(qid)), step):
-        part = _batch(vectors, qid[lo : lo + step], qm[lo : lo + step], k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    def prepare(v: pa.Table):
+        m = matrix(v["embedding"].combine_chunks())
 
+        def score(q: np.ndarray) -> np.ndarray:
+            if q.shape[1] != m.shape[1]:
+                raise DimensionMismatch(f"vectors must have {q.shape[1]} dimensions")
+            return q @ m.T
 
-def _batch(vectors: DataFrame, qid: np.ndarray, qm: np.ndarray, k: int) -> DataFrame:
-    held = vectors.sparkSession.sparkContext.broadcast((qid, qm))
+        return v["id"].to_numpy(), score
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_, m_ = held.value
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, m = ids[order], matrix(b.column(1), m_.shape[1])[order]
-            for lo in range(0, len(ids_), 1024):
-                s = m_[lo : lo + 1024] @ m.T
-                o = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids ascend, so equal scores keep the lesser id
-                rows = np.repeat(ids_[lo : lo + 1024], o.shape[1])
-                yield pa.record_batch([pa.array(rows), pa.array(ids[o].ravel()), pa.array(np.take_along_axis(s, o, 1).ravel())], names=["query_id", "id", "score"])
-
-    out = vectors.where("embedding is not null").select(F.col("entity_id").cast("bigint"), "embedding").mapInArrow(run, "query_id bigint, id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("query_id", "id", "score")
+    v = vectors.where("embedding is not null").select(F.col("entity_id").cast("bigint").alias("id"), "embedding")
+    return block_top_k(v, queries, k, prepare)
 
 
 def quantized(vectors: DataFrame, bits: int = 8) -> DataFrame:

@@ -296,7 +296,7 @@ def _(s, d):
 @register("vec_topk_batch", f"WITH r AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_DOT.replace('q)', 'b.embedding)').replace('list_zip(embedding', 'list_zip(a.embedding')} AS s FROM embeddings a, embeddings b), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS n FROM r) SELECT query_id, id, round(s, 6) AS score FROM n WHERE n <= 3")
 def _(s, d):
     v = graph.vectors(s, d)
-    return _rounded(vector.top_k_batch(v, v.select(F.col("entity_id").alias("query_id"), "embedding"), 3))
+    return _rounded(vector.top_k_batch(v, _all(v), 3))
 
 
 @register("vec_counts", "SELECT label AS topic_id, count(*) AS n FROM embeddings GROUP BY label")

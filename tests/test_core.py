@@ -303,6 +303,16 @@ def test_batched_searches_equal_single_ones(spark):
         assert np.allclose([r["score"] for r in got], [w[2] for w in want], atol=1e-5)
 
 
+def test_batch_of_many_blocks(spark, monkeypatch):
+    for name in ("MAX_QUERY_BYTES", "BLOCK_BYTES"):
+        monkeypatch.setattr(vector, name, 700, raising=False)
+    x = unit(100, 16)
+    v = vec_df(spark, x)
+    got = vector.top_k_batch(v, v.select(F.col("entity_id").alias("query_id"), "embedding"), 3).collect()
+    want = {(i, int(j)) for i, r in enumerate(neighbours(x, 3)) for j in r}
+    assert {(r["query_id"], r["id"]) for r in got} == want and len(got) == 300
+
+
 def test_vecs(spark, tmp_path):
     x = np.arange(60, dtype=np.float32).reshape(12, 5)
     vecs.write_vecs(str(tmp_path / "a.fvecs"), x)

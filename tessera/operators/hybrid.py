@@ -19,7 +19,7 @@ from .bgp import Pattern, bgp
 from .scan import find_subjects, get_content
 from .vector import top_k
 
-MIN_CANDIDATES = 100
+MIN_CANDIDATES, TOP = 100, 10
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class Find:
     threshold: float | None = None
     filters: tuple[tuple[str, Any], ...] = ()
     topic: int | None = None
-    n: int = 10
+    n: int | None = None  # without a limit: TOP hits, or all bindings of a graph-only query
     multiplier: int | None = None
     first: bool = False
     patterns: tuple[Pattern, ...] = ()
@@ -78,19 +78,21 @@ class Find:
 
     def hits(self) -> DataFrame:
         key = F.concat(F.lit(self.prefix), F.col("entity_id").cast("string"))
+        n = TOP if self.n is None else self.n
         if self.multiplier is None:
             pool = self._matching(self.vectors.withColumn("key", key), "key") if self.filters else self.vectors
-            out = top_k(pool, self.vector, self.n, topic=self.topic, threshold=self.threshold)
+            out = top_k(pool, self.vector, n, topic=self.topic, threshold=self.threshold)
             return out.withColumn("key", F.concat(F.lit(self.prefix), F.col("id").cast("string")))
-        out = top_k(self.vectors, self.vector, max(MIN_CANDIDATES, self.n * self.multiplier), topic=self.topic, threshold=self.threshold)
+        out = top_k(self.vectors, self.vector, max(MIN_CANDIDATES, n * self.multiplier), topic=self.topic, threshold=self.threshold)
         out = self._matching(out.withColumn("key", F.concat(F.lit(self.prefix), F.col("id").cast("string"))), "key")
-        return out.orderBy(F.desc("score"), "id").limit(self.n)
+        return out.orderBy(F.desc("score"), "id").limit(n)
 
     def run(self) -> DataFrame:
         if self.vector is None:
             if not self.patterns:
                 raise StoreError("a query needs a vector or patterns")
-            return bgp(self._facts(), self.patterns, list(self.result) or None).limit(self.n)
+            found = bgp(self._facts(), self.patterns, list(self.result) or None)
+            return found if self.n is None else found.limit(self.n)
         out = self.hits()
         if self.patterns:
             found = bgp(self._facts(), self.patterns)

@@ -362,7 +362,7 @@ def _(s, d):
 
 @register("hybrid_graph_only", f"{_F} SELECT DISTINCT subject AS n FROM facts WHERE predicate = 'in_region' AND o_text = 'region:1'")
 def _(s, d):
-    return hybrid.Find(_facts(s, d), graph.vectors(s, d)).join([("?n", "in_region", "region:1")], "n").limit(100).run()
+    return hybrid.Find(_facts(s, d), graph.vectors(s, d)).join([("?n", "in_region", "region:1")], "n").run()
 
 
 @register("stream_union", f"{_H}, a AS (SELECT id, s FROM v WHERE label = 1 ORDER BY s DESC, id LIMIT 20), b AS (SELECT id, s FROM v WHERE label = 2 ORDER BY s DESC, id LIMIT 20) SELECT id, round(s, 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY s DESC, id LIMIT 15")

@@ -339,6 +339,11 @@ def test_rare_filter_finds_all(spark):
         hybrid.Find(f, vec_df(spark, x)).run()
 
 
+def test_graph_only_returns_all_bindings(spark):
+    find = hybrid.Find(facts_df(spark, [(f"nation:{i}", "in_region", "region:1") for i in range(150)]), vec_df(spark, unit(3, 4))).join([("?n", "in_region", "region:1")], "n")
+    assert find.run().count() == 150 and find.limit(7).run().count() == 7
+
+
 # -- store
 def test_store_lifecycle(spark, tmp_path):
     s = Store(spark, str(tmp_path / "kg"), dimension=4)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyarrow import compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def need(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; a table that lacks one is an error that says so."""
+    """Only the named columns, taken by their place (others may differ in case alone or repeat a name); a lack of one is an error that says so."""
     lost = [n for n in names if n not in df.columns]
     if lost:
         raise ValueError(f"missing columns {lost}; the table has {df.columns}")
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
+def integer_ids(df: DataFrame) -> DataFrame:
+    """``df`` if its doc_id is an integer; other kinds are an error that says so."""
+    kind = df.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"doc_id must be an integer, not {kind.simpleString()}")
+    return df
 
 
 def n_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": lambda s, d: decontam.find(_t(s, d, "documents"), _t(s, d, "benchmark")).drop("start_char", "end_char"),
         "op5_line_dedup": lambda s, d: linededup.deduped(_t(s, d, "documents")),
         "op6_suffix_array_dedup": lambda s, d: sadedup.repeats(_t(s, d, "documents")),
-        "op7_ngram_jaccard_join": lambda s, d: ngramjoin.similar_pairs(_t(s, d, "documents")),
+        "op7_ngram_jaccard_join": lambda s, d: ngramjoin.similar_documents(_t(s, d, "documents")),
         "op8_token_counts": lambda s, d: tokencount.count_tokens(_t(s, d, "documents")),
         "op9_quality_rules": lambda s, d: quality.measure(_t(s, d, "documents")),
         "op10_sharding": lambda s, d: sharding.assign_shards(_t(s, d, "documents")),

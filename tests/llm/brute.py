@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import xxhash
 
@@ -72,20 +73,28 @@ def grams(text, n):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
 
 
-def jaccard_pairs(rows, n, least):
-    sets = {}
-    for i, t in rows:
-        if i is not None and t is not None:
-            sets.setdefault(i, set()).update(grams(t, n))
-    ids = sorted(sets)
-    out = []
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
-            o = len(sets[a] & sets[b])
-            u = len(sets[a] | sets[b])
-            if o and o >= least * u - 1e-9:
-                out.append((a, b, o, round(o / u, 6)))
-    return out
+def jaccard_classes(rows, n, least):
+    """{row number: (class id, links)} of rows that have a partner."""
+    sets = [grams(t, n) for _, t in rows]
+    edges = []
+    for x, a in enumerate(sets):
+        for y in range(x):
+            o = len(a & sets[y])
+            if o and o >= least * len(a | sets[y]) - 1e-9:
+                edges.append((x, y))
+    root = roots(edges)
+    links = Counter(v for e in edges for v in e)
+    ids = {}
+    for x in links:
+        if rows[x][0] is not None:
+            r = root.get(x, x)
+            ids[r] = min(ids.get(r, rows[x][0]), rows[x][0])
+    return {x: (ids.get(root.get(x, x)), k) for x, k in links.items()}
+
+
+def one_of_each(rows, n, least):
+    found = jaccard_classes(rows, n, least)
+    return [r for x, r in enumerate(rows) if x not in found or found[x][0] in (None, r[0])]
 
 
 def roots(edges):

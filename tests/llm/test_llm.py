@@ -338,22 +338,22 @@ def test_chains_connect_all_that_may_be_similar(docs, t):
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
 def test_ngram_join(spark, monkeypatch, small, threshold):
     if small:
-        for name, value in (("GROUP_BYTES", 500), ("RANGE_BYTES", 500), ("TILE", 3), ("FRAGMENT", 4)):
+        for name, value in (("GROUP_BYTES", 500), ("RANGE_BYTES", 500), ("TILE", 3), ("BLOCK_BYTES", 600)):
             monkeypatch.setattr(ngramjoin, name, value)
-    rows = [*corpus(), *[(300 + i, f"copy of the same text with the number {i % 3} at its end and some more words") for i in range(12)]]
+    same = "copy of the same text with the number {} at its end and some more words"
+    rows = [*corpus(), *[(300 + i, same.format(i % 3)) for i in range(12)], (None, same.format(0)), (None, "of null ids alone, twice"), (None, "of null ids alone, twice")]
     docs = frame(spark, rows)
-    expect = brute.jaccard_pairs(rows, ngramjoin.N, threshold)
-    assert len(expect) > 20
-    assert got(ngramjoin.similar_pairs(docs, threshold=threshold), "doc_a", "doc_b", "overlap", "jaccard") == want(expect)
+    found = brute.jaccard_classes(rows, ngramjoin.N, threshold)
+    assert len(found) > 20
+    assert got(ngramjoin.similar_documents(docs, threshold=threshold), "doc_id", "class_id", "links") == want((rows[x][0], *f) for x, f in found.items())
     if threshold == 0.5:
-        gone = brute.roots([e[:2] for e in expect])
         out = ngramjoin.one_of_each(docs)
         assert out.columns == docs.columns
-        assert got(out, "doc_id", "text") == want(r for r in rows if r[0] not in gone)
+        assert got(out, "doc_id", "text") == want(brute.one_of_each(rows, ngramjoin.N, threshold))
 
 
 def test_ngram_join_of_nothing(spark):
-    assert ngramjoin.similar_pairs(frame(spark, [])).count() == 0
+    assert ngramjoin.similar_documents(frame(spark, [])).count() == 0
     assert ngramjoin.one_of_each(frame(spark, [(1, None), (None, "a b c d")])).count() == 2
 
 
@@ -436,8 +436,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     benchmark(spark, items).write.parquet(str(tmp_path / "benchmark.parquet"))
     left = [r for r in rows if brute.quality(r[1], quality.MIN_WORDS, quality.MAX_COVERED, quality.MAX_REPEAT)[3]]
     left = [(i, t) for i, t, _, gone in brute.line_dedup(left) if not gone or t.strip(" \t\r\n")]
-    gone = brute.roots([p[:2] for p in brute.jaccard_pairs(left, ngramjoin.N, ngramjoin.THRESHOLD)])
-    left = brute.decontaminated([r for r in left if r[0] not in gone], items, decontam.PHRASE)
+    left = brute.decontaminated(brute.one_of_each(left, ngramjoin.N, ngramjoin.THRESHOLD), items, decontam.PHRASE)
     check_bins(corpus_pipeline.run(spark, str(tmp_path)).collect(), left, packing.CAPACITY)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "decontamination", "best_fit_packing"]

@@ -1,11 +1,11 @@
 """Operator 2, language ID: hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1.  A trigram's vector binds its letters', permuted by position, through an
-elementwise product; a text's vector bundles (sums) those of its trigrams; a language's prototype bundles the unit
-vectors of labelled documents.  A document gets the language whose prototype has the largest cosine with it.
+Every letter has a random vector of +1 and -1, made from its code point.  A trigram's vector binds its letters', permuted by
+position, through an elementwise product; a text's vector bundles (sums) those of its trigrams; a language's prototype bundles the
+unit vectors of labelled documents.  A document gets the language whose prototype has the largest cosine with it.
 
-The sum over a text's trigrams is its count vector times the trigram vectors, so a batch of documents costs one matrix
-product over the trigrams that occur in it.
+The sum over a text's trigrams is its count vector times the trigram vectors: a product of matrices for as many documents and
+trigrams at a time as fit in CELLS numbers.
 """
 
 from __future__ import annotations
@@ -14,98 +14,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import n_slices, need
+from ._text import mix
 
 DIM = 1024
-#: Letters: 26, a space, and 37 classes for all other characters that aren't ASCII.
-ALPHABET = 64
 #: Labelled rows at most of each language that prototypes are made from.
 TRAIN_ROWS = 2000
-_SEED = 20240229
+#: Counts held at once (4 bytes each), and trigrams whose vectors are (4 KB each).
+CELLS, COLUMNS = 1 << 23, 1 << 12
+SLICE_BYTES = 1 << 20
+_SPACE, _BITS = 32, 21
+_SEED = np.uint64(20240229)
+_is_letter: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
-    table = np.full(128, 26, np.uint16)  # ASCII other than letters is a space
-    for i in range(26):
-        table[97 + i] = table[65 + i] = i
-    return table
+def _letters_of_unicode() -> np.ndarray:
+    if not _is_letter:  # once a worker
+        _is_letter.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _is_letter[0]
 
 
-_TABLE = _letters()
-_VECTORS = np.random.default_rng(_SEED).choice(np.array([-1, 1], np.int8), (ALPHABET, DIM))
+def letters(text: str) -> np.ndarray:
+    """Code points of the lower-case text, framed by spaces; all that isn't a letter is a space, runs of spaces are one."""
+    x = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.where(_letters_of_unicode()[x], x, _SPACE)
+    keep = np.ones(len(out), bool)
+    keep[1:] = (out[1:] != _SPACE) | (out[:-1] != _SPACE)
+    return out[keep].astype(np.int64)
+
+
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """A row of +1 and -1 (int8) for each code point: the bits of hashes of it."""
+    word = mix(mix(points.astype(np.uint64) + _SEED)[:, None] + np.arange(DIM // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (np.unpackbits(word.astype("<u8").view(np.uint8).reshape(len(points), -1), axis=1) * 2).astype(np.int8) - np.int8(1)
 
 
 def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     """Bound vectors (float32) of trigram codes; the letter at place j is rotated by 2 - j before the product."""
-    a, b, c = codes // (ALPHABET * ALPHABET), codes // ALPHABET % ALPHABET, codes % ALPHABET
-    out = np.roll(_VECTORS, 2, axis=1)[a] * np.roll(_VECTORS, 1, axis=1)[b]
-    out *= _VECTORS[c]
+    mask = (1 << _BITS) - 1
+    points, at = np.unique(np.stack([codes >> (2 * _BITS), codes >> _BITS & mask, codes & mask]), return_inverse=True)
+    a, b, c = at.reshape(3, -1)
+    v = letter_vectors(points)
+    out = np.roll(v, 2, axis=1)[a]
+    out *= np.roll(v, 1, axis=1)[b]
+    out *= v[c]
     return out.astype(np.float32)
 
 
-def letters(text: str) -> np.ndarray:
-    """Letter numbers of a text, framed by spaces; runs of spaces are one."""
-    x = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where(x < 128, _TABLE[np.minimum(x, 127)], (27 + x % 37).astype(np.uint16))
-    keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != 26) | (out[:-1] != 26)
-    return out[keep]
-
-
-def trigram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts): the trigrams that occur, and a row of counts for every text."""
-    space = ALPHABET**3
-    codes, rows, n = [], [], []
-    for i, t in enumerate(texts):
-        x = letters(t).astype(np.int64) if t else np.zeros(0, np.int64)
-        g = (x[:-2] * ALPHABET + x[1:-1]) * ALPHABET + x[2:]
-        c = np.bincount(g) if len(g) > 20000 else None
-        u, k = (np.flatnonzero(c), c[c > 0]) if c is not None else np.unique(g, return_counts=True)
-        codes.append(u)
-        rows.append(np.full(len(u), i))
-        n.append(k)
-    codes, rows, n = map(np.concatenate, (codes, rows, n))
-    seen = np.zeros(space, bool)
-    seen[codes] = True
-    used = np.flatnonzero(seen)
-    place = np.zeros(space, np.int32)
-    place[used] = np.arange(len(used))
-    out = np.zeros((len(texts), len(used)), np.float32)
-    out[rows, place[codes]] = n
-    return used, out
-
-
 def embed(texts: list[str | None]) -> np.ndarray:
     """Unit document vectors; zero for a text without a trigram."""
-    used, counts = trigram_counts(texts)
-    if not len(used):
-        return np.zeros((len(texts), DIM), np.float32)
-    v = counts @ trigram_vectors(used)
-    size = np.linalg.norm(v, axis=1, keepdims=True)
-    return v / np.where(size > 0, size, 1)
+    codes, n = [], []
+    for t in texts:
+        x = letters(t) if t else np.zeros(0, np.int64)
+        u, k = np.unique((x[:-2] << (2 * _BITS)) | (x[1:-1] << _BITS) | x[2:], return_counts=True)
+        codes.append(u)
+        n.append(k.astype(np.float32))
+    out = np.zeros((len(texts), DIM), np.float32)
+
+    def bundle(lo: int, hi: int) -> None:
+        code = np.concatenate(codes[lo:hi])
+        if not len(code):
+            return
+        used = np.unique(code)
+        if (hi - lo) * len(used) > CELLS and hi - lo > 1:
+            bundle(lo, (lo + hi) // 2)
+            bundle((lo + hi) // 2, hi)
+            return
+        row, place, count = np.repeat(np.arange(hi - lo), [len(x) for x in codes[lo:hi]]), np.searchsorted(used, code), np.concatenate(n[lo:hi])
+        for a in range(0, len(used), COLUMNS):
+            part = used[a : a + COLUMNS]
+            hit = (place >= a) & (place < a + len(part)) if len(used) > COLUMNS else slice(None)
+            m = np.zeros((hi - lo, len(part)), np.float32)
+            m[row[hit], place[hit] - a] = count[hit]
+            out[lo:hi] += m @ trigram_vectors(part)
+
+    if len(texts):
+        bundle(0, len(texts))
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(size > 0, size, 1)
 
 
 def prototypes(docs: DataFrame, rows: int = TRAIN_ROWS, label: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes from at most about ``rows`` labelled documents each, chosen by a hash of the id.
+    """Languages and their unit prototypes from at most about ``rows`` labelled documents each, chosen by a hash of id and text.
 
-    The bundle is summed on the executors: what comes back is one vector of DIM numbers per language and partition.
+    The bundle is summed on the executors: what comes back is one vector of DIM numbers per language and partition.  Rows
+    with a null label or text aren't used; null ids and repeated rows are rows like others; a language of which no text has
+    a letter has no prototype.
     """
-    known = need(docs, "doc_id", "text", label).where(F.col(label).isNotNull() & F.col("text").isNotNull()).withColumnRenamed(label, "label")
+    known = need(docs, "doc_id", "text", label).toDF("doc_id", "text", "label").where("label is not null and text is not null")
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
         return [], np.zeros((0, DIM), np.float32)
     share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, rows / v)))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)  # rows of one id are drawn each for itself
     part = known.where(draw < share[F.col("label")]).select("label", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for big in batches:
-            for b in n_slices(big, "text", 1 << 20):
+            for b in n_slices(big, "text", SLICE_BYTES):
                 lab = b.column(0).to_pylist()
                 for x, v in zip(lab, embed(b.column(1).to_pylist())):
                     sums[x] = sums.get(x, 0) + v.astype(np.float64)
@@ -121,17 +131,16 @@ def prototypes(docs: DataFrame, rows: int = TRAIN_ROWS, label: str = "lang") ->
 
 
 def identify(docs: DataFrame, names: list[str], protos: np.ndarray) -> DataFrame:
-    """(doc_id, language, cosine, margin) for every row of ``docs``, over whole texts.
+    """(doc_id, language, cosine, margin) for every row of ``docs``, over whole texts, however long or short.
 
-    ``margin`` is the lead over the second language.  A text without an ASCII letter or other character beyond ASCII (null,
-    empty, blank, punctuation) has a null language and cosine 0; equal cosines
-    go to the lesser name; repeated rows and null ids keep their rows; without prototypes all languages are null; other
-    columns are ignored.
+    ``margin`` is the lead over the second language.  A text without a letter of any script (null, empty, blank, digits,
+    punctuation) has a null language and cosine 0; cosines equal to 6 digits go to the lesser name; repeated rows and null ids
+    keep their rows; without prototypes all languages are null; an empty table gives an empty result; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in n_slices(big, "text", 1 << 20):
+            for b in n_slices(big, "text", SLICE_BYTES):
                 n = b.num_rows
                 best, top, gap = np.full(n, -1), np.zeros(n), np.zeros(n)
                 if names:

@@ -4,7 +4,9 @@ The words of a shard's documents, a separator behind each, get a suffix array; i
 matrix.  All test phrases are searched backwards at once, word by word, as ranks of the wavelet matrix; occurrences are located by
 walking from each row to a sampled suffix position.  Overlapping or touching occurrences are merged to spans.
 
-The phrases are the benchmark's, a small table whose size doesn't depend on the corpus; it's checked (MAX_ITEMS).
+The phrases are the benchmark's, a table whose size doesn't depend on the corpus.  They are broadcast; the bytes of its text, and with
+them those of the phrases, are checked before it's read (MAX_BYTES).  Where no phrase has all its words in a shard, there is nothing
+to search and the index isn't built.
 """
 
 from __future__ import annotations
@@ -15,17 +17,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import merged, n_slices, need
 from ._suffix import dense_ranks, suffix_array
-from ._text import token_spans, words
+from ._text import runs, token_spans, windows_in_doc, words
 
 #: Words of a test phrase; a benchmark item of fewer is searched whole.
 PHRASE = 8
 SHARD_BYTES = 4 << 20
 SAMPLE = 16
-MAX_ITEMS = 5_000_000
+#: Bytes of benchmark text at most.  A word takes two bytes at least, so its phrases take 40 times that at most; ordinary text 15 times.
+MAX_BYTES = 32 << 20
 _SEPARATOR = np.uint64(0)  # no word hashes to it in practice, and it's excluded from phrases
 
 
@@ -39,28 +43,34 @@ class Phrases:
 
 
 def phrases(benchmark: DataFrame, n: int = PHRASE) -> Phrases:
-    """Every n-word phrase of every item; items without words and null ids have none."""
-    t = need(benchmark, "item_id", "text").where("item_id is not null and text is not null").limit(MAX_ITEMS + 1).toArrow()
-    if t.num_rows > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items: split the benchmark")
-    return phrases_of(t["item_id"].to_numpy(), t["text"], n)
+    """Every n-word phrase of every item; items without words and null ids have none.  item_id must be an integer."""
+    t = need(benchmark, "item_id", "text").where("item_id is not null and text is not null")
+    kind = t.schema["item_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"item_id must be an integer, not {kind.simpleString()}")
+    r = t.agg(F.sum(F.octet_length("text") + 16).alias("bytes")).first()
+    if (r["bytes"] or 0) > MAX_BYTES:
+        raise ValueError(f"{r['bytes']} bytes of benchmark; at most {MAX_BYTES} at once: split it and clean by one part after another")
+    t = t.toArrow()
+    return phrases_of(t["item_id"].to_numpy().astype(np.int64), t["text"], n)
 
 
 def phrases_of(ids: np.ndarray, texts, n: int = PHRASE) -> Phrases:
     w = words(texts)
-    best: dict[bytes, int] = {}
-    for i, item in enumerate(ids):
-        h = w.hash[w.first[i] : w.first[i + 1]]
-        k = min(n, len(h))
-        for j in range(len(h) - k + 1 if k else 0):
-            p = h[j : j + k].tobytes()
-            best[p] = min(best.get(p, int(item)), int(item))
-    rows = sorted(best.items())
-    word = np.zeros((len(rows), n), np.uint64)
-    size = np.array([len(p) // 8 for p, _ in rows], np.int64)
-    for i, (p, _) in enumerate(rows):
-        word[i, : size[i]] = np.frombuffer(p, np.uint64)
-    return Phrases(word, size, np.array([x for _, x in rows], np.int64))
+    count = np.diff(w.first)
+    word, size, item = [np.zeros((0, n), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, n + 1):
+        at = np.flatnonzero(windows_in_doc(w.first, len(w.hash), n)) if k == n else w.first[:-1][count == k]
+        x = np.zeros((len(at), n), np.uint64)
+        x[:, :k] = w.hash[at[:, None] + np.arange(k)]
+        own = ids[w.doc[at]]
+        o = np.lexsort((own, *x.T))
+        x, own = x[o], own[o]
+        first = np.append(True, (x[1:] != x[:-1]).any(1))[: len(x)]
+        word.append(x[first])
+        size.append(np.full(first.sum(), k))
+        item.append(own[first])
+    return Phrases(*map(np.concatenate, (word, size, item)))
 
 
 class FMIndex:
@@ -145,12 +155,13 @@ def occurrences(col, ph: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     code = np.searchsorted(alphabet, ph.word)
     code[code >= kinds] = 0
     code = np.where((alphabet[code] == ph.word) & (ph.word != _SEPARATOR), code, -1)
-    if (code < 0).any(1)[ph.size == ph.word.shape[1]].all() and (ph.size == ph.word.shape[1]).all():
+    here = (code >= 0).sum(1) >= ph.size
+    if not here.any():
         return none, none, none, none
     index = FMIndex(ids, kinds)
     pos, size, item = [none], [none], [none]
-    for k in np.unique(ph.size):
-        which = np.flatnonzero(ph.size == k)
+    for k in np.unique(ph.size[here]):
+        which = np.flatnonzero(here & (ph.size == k))
         lo, hi = index.search(code[which, :k])
         n = np.maximum(hi - lo, 0)
         row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -181,20 +192,20 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame:
     """(doc_id, start_word, end_word, start_char, end_char, item_id): spans of ``docs`` that hold benchmark phrases.
 
     Words are numbered from 0 without those that have no letter or digit, ends are exclusive; case and ASCII punctuation
-    don't matter; ``item_id`` is the least of the items found in the span.  Null and empty texts have no span; repeated rows
-    each have theirs; an empty benchmark or table gives an empty result; other columns are ignored.
+    don't matter; ``item_id`` is the least of the items found in the span (ties: of the items that have the phrase).  Null and
+    empty texts have no span; very long texts are a shard of their own; repeated rows and null ids each have theirs; an empty
+    benchmark or table gives an empty result; other columns are ignored.
     """
-    ph = phrases(benchmark, n)
+    held = docs.sparkSession.sparkContext.broadcast(phrases(benchmark, n))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in merged(batches, "text", SHARD_BYTES):
             for b in n_slices(big, "text", SHARD_BYTES):
-                t, s, e, item = merge(*occurrences(b.column(1), ph))
+                t, s, e, item = merge(*occurrences(b.column(1), held.value))
                 a, z = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-                for i in np.unique(t):
-                    begin, end = token_spans(b.column(1)[int(i)].as_py())
-                    mine = t == i
+                for i, mine in runs(t):
+                    begin, end = token_spans(b.column(1)[i].as_py())
                     a[mine], z[mine] = begin[s[mine]], end[e[mine] - 1]
                 cols = [b.column(0).take(pa.array(t)), *map(pa.array, (s, e, a, z, item))]
                 yield pa.record_batch(cols, names=["doc_id", "start_word", "end_word", "start_char", "end_char", "item_id"])
@@ -205,9 +216,11 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame:
 def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame:
     """``docs`` without the spans that ``find`` returns, all columns kept; documents of which no word is left are dropped.
 
-    Documents without a span are unchanged, those without words (null, empty) included.
+    Documents without a span are unchanged, those without words (null, empty) included.  Repeated rows and null ids are cleaned
+    each for themselves, very long texts as a shard of their own; an empty table or benchmark changes nothing.  Columns are
+    told apart by their place, so other columns may have any names and values.
     """
-    ph = phrases(benchmark, n)
+    held = docs.sparkSession.sparkContext.broadcast(phrases(benchmark, n))
     at = docs.columns.index("text")
     base = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in base.schema])
@@ -215,16 +228,16 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in merged(batches, f"c{at}", SHARD_BYTES):
             for b in n_slices(big, f"c{at}", SHARD_BYTES):
-                t, s, e, _ = merge(*occurrences(b.column(at), ph))
+                t, s, e, _ = merge(*occurrences(b.column(at), held.value))
                 if not len(t):
                     yield b
                     continue
                 text, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
-                for i in np.unique(t):
+                for i, mine in runs(t):
                     x = text[i]
                     begin, end = token_spans(x)
                     parts, last = [], 0
-                    for p, q in zip(s[t == i], e[t == i]):
+                    for p, q in zip(s[mine], e[mine]):
                         parts.append(x[last : begin[p]])
                         last = end[q - 1]
                     text[i] = "".join(parts) + x[last:]

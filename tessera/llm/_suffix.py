@@ -97,7 +97,20 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sa, rank
 
 
-def lcp_array(ids: np.ndarray, sa: np.ndarray, rank: np.ndarray, skip: int = 0) -> np.ndarray:
+def _common(x: np.ndarray, i: int, j: int) -> int:
+    """Length of the common prefix of x[i:] and x[j:]; the last symbol of x is unlike all others."""
+    start, size, last = i, 64, len(x) - 1
+    while True:
+        m = min(size, last - i, last - j)
+        if m <= 0:
+            return i - start
+        differ = np.flatnonzero(x[i : i + m] != x[j : j + m])
+        if len(differ):
+            return i + int(differ[0]) - start
+        i, j, size = i + m, j + m, 2 * size
+
+
+def lcp_array(ids: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """lcp[r] = common prefix of the suffixes sa[r-1] and sa[r]; lcp[0] = 0.
 
     Kasai's order of computation: by text position, where plcp[i] >= plcp[i-1] - 1.  Positions whose left neighbours
@@ -118,11 +131,13 @@ def lcp_array(ids: np.ndarray, sa: np.ndarray, rank: np.ndarray, skip: int = 0)
     plcp = np.zeros(n, np.int32)
     x = np.append(ids.astype(np.int64), -1)
     i, j, live, ln = at.copy(), phi[at].astype(np.int64), np.arange(len(at)), np.zeros(len(at), np.int32)
-    while len(live):
+    while len(live) > 256:
         same = (i < n) & (j < n)
         same &= x[np.minimum(i, n)] == x[np.minimum(j, n)]
         live, i, j = live[same], i[same] + 1, j[same] + 1
         ln[live] += 1
+    for k, p, q in zip(live.tolist(), i.tolist(), j.tolist()):  # the few long ones, by slices that double
+        ln[k] += _common(x, p, q)
     plcp[at] = ln
     src = np.where(left, np.arange(n, dtype=np.int32), 0)
     np.maximum.accumulate(src, out=src)

@@ -131,13 +131,58 @@ def test_packing(spark, capacity):
 # -- 2 language
 
 
-def test_hyperdimensional_vectors_equal_plain_loops():
-    for text in ("Hello, world", "日本 été", "a"):
-        x = langid.letters(text)
-        total = np.zeros(langid.DIM)
-        for a, b, c in zip(x, x[1:], x[2:]):
-            total += np.roll(langid._VECTORS[a], 2).astype(int) * np.roll(langid._VECTORS[b], 1) * langid._VECTORS[c]
-        assert np.allclose(langid.embed([text])[0], total / np.linalg.norm(total), atol=1e-5)
+def loops(text):
+    """A text's unit vector, trigram by trigram."""
+    x = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    x = [ord(c) for i, c in enumerate(x) if c != " " or i == 0 or x[i - 1] != " "]
+    v = {p: langid.letter_vectors(np.array([p]))[0].astype(int) for p in x}
+    total = np.zeros(langid.DIM)
+    for a, b, c in zip(x, x[1:], x[2:]):
+        total += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    return total / (np.linalg.norm(total) or 1)
+
+
+@pytest.mark.parametrize("cells,columns", [(1 << 23, 1 << 12), (40, 7)])
+def test_hyperdimensional_vectors_equal_plain_loops(monkeypatch, cells, columns):
+    monkeypatch.setattr(langid, "CELLS", cells)
+    monkeypatch.setattr(langid, "COLUMNS", columns)
+    texts = ["Hello, world", "日本 été", "a", "", None, "12 34", "ÉTÉ"]
+    for t, v in zip(texts, langid.embed(texts)):
+        assert np.allclose(v, loops(t), atol=1e-5)
+    assert len({tuple(langid.letter_vectors(np.array([p]))[0]) for p in range(97, 500)}) == 403  # no two letters share a vector
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    rnd = random.Random(0)
+    texts = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(4)) for _ in range(20000)]
+    tracemalloc.start()
+    langid.embed(texts[:8000])
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_language_equals_plain_loops(spark):
+    rows = [(i, t, ["xx", "yy", "zz", None][i % 4]) for i, (_, t) in enumerate(corpus()[:24])] + [(50, None, "xx"), (51, "!!", "yy"), (None, "alpha beta", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    proto = {}
+    for _, t, k in rows:
+        if k and t:
+            proto[k] = proto.get(k, 0) + loops(t)
+    names = sorted(proto)
+    m = np.array([proto[k] / np.linalg.norm(proto[k]) for k in names])
+    out = {r["doc_id"]: r for r in langid.detect(docs).collect()}
+    for i, t, _ in rows:
+        cos = m @ loops(t)
+        if not loops(t).any():
+            assert (out[i]["language"], out[i]["cosine"], out[i]["margin"]) == (None, 0, 0)
+            continue
+        assert abs(out[i]["cosine"] - cos.max()) < 1e-4
+        assert abs(out[i]["margin"] - (cos.max() - np.sort(cos)[-2])) < 1e-4
+        assert out[i]["margin"] < 1e-4 or out[i]["language"] == names[int(cos.argmax())]
+    tie = langid.identify(docs, ["aa", "bb"], np.array([m[0], m[0]], np.float32)).where("language is not null").select("language", "margin").distinct().collect()
+    assert [tuple(r) for r in tie] == [("aa", 0.0)]
 
 
 def test_language_of_held_out_documents(spark, sf):
@@ -244,6 +289,22 @@ def test_decontamination(spark, monkeypatch, shard):
     assert got(out, "doc_id", "text") == want(brute.decontaminated(rows, items, decontam.PHRASE))
 
 
+def test_decontamination_of_long_runs(spark):
+    """Megabytes of punctuation, of one letter and of words, with a passage in them: time stays linear."""
+    passage = "a test passage of nine words that must go"
+    rows = [(1, "-" * 2_000_000 + " " + passage + " " + "=" * 2_000_000), (2, "x" * 2_000_000 + " " + passage), (3, ("lorem ipsum dolor " * 80_000 + passage + " ") * 3), (4, "- " * 1_000_000)]
+    out = {r["doc_id"]: r["text"] for r in decontam.cleaned(frame(spark, rows), benchmark(spark, [(1, passage)])).collect()}
+    assert set(out) == {2, 3, 4}  # of the first no word is left
+    assert out[2].strip() == "x" * 2_000_000 and out[4] == rows[3][1]
+    assert "passage" not in out[3] and out[3].count("lorem ipsum dolor") == 240_000
+
+
+def test_a_benchmark_too_large_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BYTES", 100)
+    with pytest.raises(ValueError, match="bytes of benchmark"):
+        decontam.find(frame(spark, []), benchmark(spark, [(1, "a b c d " * 40)]))
+
+
 def test_decontamination_of_nothing(spark):
     rows = corpus()
     assert decontam.find(frame(spark, rows), benchmark(spark, [])).count() == 0
@@ -385,7 +446,7 @@ def test_token_counts(spark):
 @pytest.mark.parametrize("shard", [6 << 20, 300])
 def test_quality(spark, monkeypatch, shard):
     monkeypatch.setattr(quality, "SHARD_BYTES", shard)
-    rows = [(i, t) for i, t in corpus() if not t or len(t) < 9000]
+    rows = corpus()
     docs = frame(spark, rows)
     expect = [(i, *brute.quality(t, 5, 0.5, 100)) for i, t in rows]
     assert got(quality.measure(docs), "doc_id", "n_words", "repeated_words", "longest_repeat", "keep") == want(expect)
@@ -396,6 +457,15 @@ def test_quality(spark, monkeypatch, shard):
     assert quality.measure(frame(spark, [])).count() == 0
 
 
+def test_quality_of_very_long_texts(spark):
+    """Megabytes of one word, of one line and of words that differ; one symbol a step would take minutes."""
+    line = "one line that comes again and again\n"
+    own = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, "spam " * 400_000), (2, line * 60_000), (3, own), (4, own + " " + own)]
+    out = got(quality.measure(frame(spark, rows)), "doc_id", "n_words", "repeated_words", "longest_repeat", "keep")
+    assert out == [(1, 400_000, 400_000, 399_999, False), (2, 420_000, 420_000, 419_993, False), (3, 300_000, 0, 0, True), (4, 600_000, 600_000, 300_000, False)]
+
+
 # -- 10 sharding
 
 
@@ -429,7 +499,7 @@ def test_a_changed_weight_moves_only_its_subtree(spark):
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    rows = [r for r in corpus() if r[1] is None or len(r[1]) < 9000]
+    rows = corpus()
     rows.append((400, "unlike all the others this text talks of a harbour, its boats and seven old anchors " + rows[0][1][:60]))
     items = [(1, "of a harbour its boats and seven old anchors"), (2, rows[8][1])]
     frame(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))

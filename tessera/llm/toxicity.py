@@ -1,11 +1,16 @@
 """Operator 3, toxicity: compression distance between two zstandard dictionaries.
 
-A dictionary is trained on all windows of ordinary labelled text and another on all windows of toxic labelled text, followed
-by the words that are over-represented there, themselves or by their letter five-grams.  Every window of a document is
-compressed twice, against the ordinary dictionary and against the toxic one laid before it; bytes saved by the toxic one are
-the window's distance.  Both compressions know the same ordinary text, so ordinary windows save little; what they do save
-grows with a document's length and is taken off.  The size of the toxic dictionary and the thresholds for a window and for
-a document are calibrated on labelled documents that the dictionaries weren't trained on.
+One dictionary is trained on ordinary labelled text, another on toxic labelled text.  Every window of a document is compressed
+twice, against the ordinary dictionary and against the toxic one laid before it; the bytes that the toxic one saves are the
+window's distance.  Both compressions know the same ordinary text, so ordinary windows save little; what they do save grows with
+a document's length and is taken off.  Whole groups of copies of labelled documents go to one of two halves: the dictionaries are
+trained on the one; the size and the segments of the toxic dictionary and the thresholds for a window and for a document are
+calibrated on the other.
+
+The ordinary dictionary is made by zstd's own trainer.  Toxic text is ordinary text but for a few words in a document, and that
+trainer takes what is frequent, which is what both classes have; so the toxic dictionary is made from all of the toxic texts by
+the same greedy rule (take the segment whose runs occur in most texts, count each run once, go on) with runs weighed by how many
+more toxic than ordinary texts have them.
 
 Windows are small and zstd stores a block raw unless it shrinks enough, so each begins with a primer that both
 dictionaries end with: every match then shows in the length.
@@ -14,7 +19,7 @@ dictionaries end with: every match then shows in the length.
 from __future__ import annotations
 
 import math
-import re
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,29 +31,27 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import n_slices, need
+from ._spark import n_slices, need, trim
 from ._text import buffers
 
 #: Labelled rows of each class, at most, that the model is fitted on (half for the dictionaries, half for calibration).
 TRAIN_ROWS = 4000
 WINDOW = 32
-ORDINARY_BYTES, WORD_BYTES = 4096, 2048
-#: Sizes of the dictionary trained on toxic windows, from which calibration chooses.
-TOXIC_BYTES = (256, 512, 1024, 2048)
-#: Bytes of the pieces it is made of, long enough for a phrase, and of the runs by which they are counted.
-PIECE, RUN = 24, 6
+ORDINARY_BYTES = 4096
+#: Sizes of the toxic dictionary from which calibration chooses.
+TOXIC_BYTES = (128, 256, 512, 1024, 2048, 4096)
+#: Bytes of its segments, short ones for words and long ones for phrases, from which calibration chooses too, and of the runs by
+#: which they are counted.
+SEGMENTS, RUN = (10, 24), 6
 #: Clean texts with a run that weigh against the toxic ones that have it, in shares of their class.
-CONTRAST = 10.0
+CONTRAST = 5.0
+#: Texts that share this part of their four-word runs with an earlier one are copies of it and count as one text.
+COPY = 0.3
 #: Times the clean windows' mean saving that calibration may take off every window of a document.
 NOISE = (0, 1, 2, 4)
 #: What flagging a clean document costs in calibration, in missed toxic ones.
 CLEAN_COST = 3.0
-#: How surprising a five-gram's counts must be (chi-square scale, one degree of freedom).
-SURPRISE = 18.0
-#: How many times the share of toxic texts with a word or five-gram must exceed that of clean ones.
-RATIO = 20.0
 PRIMER = bytes(range(128, 160))
-_WORD = re.compile(r"\w+")
 
 
 @dataclass
@@ -94,11 +97,11 @@ def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return a, b, np.searchsorted(off, a, side="right") - 1
 
 
-def savings(col, ordinary: zs.ZstdCompressor, toxic: zs.ZstdCompressor) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bytes the toxic dictionary saves) of every window of a string array."""
+def packed(col) -> tuple[np.ndarray, zs.BufferWithSegments | None]:
+    """(text index of each window, windows behind their primers) of a string array."""
     data, off = buffers(pc.utf8_lower(col))
     if len(data) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), None
     a, b, doc = windows(data, off)
     p, m = len(PRIMER), len(a)
     seg = np.empty((m, 2), np.uint64)
@@ -110,21 +113,34 @@ def savings(col, ordinary: zs.ZstdCompressor, toxic: zs.ZstdCompressor) -> tuple
     out[at] = np.frombuffer(PRIMER, np.uint8)
     keep[at] = False
     out[keep] = data
-    buf = zs.BufferWithSegments(out.tobytes(), seg.tobytes())
-    size = [np.fromiter(map(len, c.multi_compress_to_buffer(buf, threads=1)), np.int64, m) for c in (ordinary, toxic)]
-    return doc, size[0] - size[1]
+    return doc, zs.BufferWithSegments(out.tobytes(), seg.tobytes())
+
+
+def lengths(buf: zs.BufferWithSegments | None, c: zs.ZstdCompressor) -> np.ndarray:
+    """Compressed length of every window."""
+    return np.fromiter(map(len, c.multi_compress_to_buffer(buf, threads=1)), np.int64, len(buf)) if buf else np.zeros(0, np.int64)
+
+
+def savings(col, ordinary: zs.ZstdCompressor, toxic: zs.ZstdCompressor) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, bytes the toxic dictionary saves) of every window of a string array."""
+    doc, buf = packed(col)
+    return doc, lengths(buf, ordinary) - lengths(buf, toxic)
 
 
-def _distinct(texts: list[str]) -> list[str]:
-    """Texts that aren't mostly four-word runs of an earlier one: copies would count their peculiarities many times."""
-    seen: set[tuple[str, ...]] = set()
-    out = []
-    for t in texts:
+def copies(texts: list[str]) -> np.ndarray:
+    """A group number for every text: copies share one, so that their peculiarities count once."""
+    owner: dict[tuple[str, ...], int] = {}
+    out = np.zeros(len(texts), np.int64)
+    n = 0
+    for k, t in enumerate(texts):
         w = t.split()
-        runs = set(zip(w, w[1:], w[2:], w[3:]))
-        if not runs or len(runs & seen) < 0.3 * len(runs):
-            out.append(t)
-        seen |= runs
+        runs = set(zip(w, w[1:], w[2:], w[3:])) or {tuple(w)}
+        seen = Counter(owner[r] for r in runs if r in owner)
+        g = seen.most_common(1)[0][0] if seen.total() >= COPY * len(runs) else n
+        n += g == n
+        out[k] = g
+        for r in runs:
+            owner.setdefault(r, g)
     return out
 
 
@@ -138,8 +154,8 @@ def _pieces(texts: list[str]) -> list[bytes]:
     return [raw[i:j] for i, j in zip(a, b)]
 
 
-def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, the run of RUN bytes at each position as a number, runs, texts that have each); 0: no run."""
+def _runs(texts: list[str], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, the run of RUN bytes at each position as a number, runs, groups of texts that have each); 0: no run."""
     data, off = buffers(pa.array(texts, pa.string()))
     n = max(0, len(data) - RUN + 1)
     run = np.zeros(n, np.uint64)
@@ -147,113 +163,111 @@ def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         run = (run << np.uint64(8)) | data[i : i + n].astype(np.uint64)
     doc = np.searchsorted(off, np.arange(n), side="right") - 1
     run[off[doc + 1] < np.arange(n) + RUN] = 0  # across two texts
-    o = np.lexsort((doc, run))
-    r, d = run[o], doc[o]
-    first = np.ones(n, bool)
-    first[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1])
-    runs, count = np.unique(r[first], return_counts=True)
+    bits = np.uint64(64 - 8 * RUN)
+    runs, count = np.unique(np.unique((run << bits) | group[doc].astype(np.uint64)) >> bits, return_counts=True)
     return data, run, runs, count
 
 
-def _contrast(toxic: list[str], clean: list[str], size: int) -> bytes:
-    """Content of a dictionary trained on all of the toxic texts, the best piece last.
+def train_toxic(toxic: list[str], clean: list[str], group: np.ndarray, clean_group: np.ndarray, size: int, segment: int) -> bytes:
+    """Content of a dictionary trained on all of the toxic texts, the best segment last, of at most ``size`` bytes.
 
-    As zstd's own trainer does, it takes the piece whose runs occur in most texts, again and again, each run once; a run
-    counts by the texts beyond one and beyond CONTRAST times its share of clean ones.  (That trainer gives up the end of its
-    content, the best pieces, for its header, which is most of a dictionary of this size.)
+    A run counts by the toxic texts beyond one that have it, less CONTRAST times as many as would have it if they were clean;
+    texts of one group are one.
     """
-    data, run, runs, t = _runs(toxic)
-    _, _, known, c = _runs(clean)
-    if len(run) < PIECE or not len(known):
+    data, run, runs, t = _runs(toxic, group)
+    _, _, known, c = _runs(clean, clean_group)
+    if len(run) < segment or not len(known):
         return b""
     at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-    worth = np.maximum(t - 1 - CONTRAST * np.where(known[at] == runs, c[at], 0) * len(toxic) / len(clean), 0.0)
+    worth = np.maximum(t - 1 - CONTRAST * np.where(known[at] == runs, c[at], 0) * len(np.unique(group)) / len(np.unique(clean_group)), 0.0)
     worth[runs == 0] = 0
     place = np.searchsorted(runs, run)
-    raw, out, width = data.tobytes(), [], PIECE - RUN + 1
-    while len(out) * PIECE < size:
-        total = np.concatenate([[0.0], np.cumsum(worth[place])])
-        gain = total[width:] - total[:-width]
+    by = np.argsort(place, kind="stable")
+    edge = np.searchsorted(place[by], np.arange(len(runs) + 1))
+    raw, out, width = data.tobytes(), [], segment - RUN + 1
+    total = np.concatenate([[0.0], np.cumsum(worth[place])])
+    gain = total[width:] - total[:-width]
+    while (len(out) + 1) * segment <= size:
         i = int(gain.argmax())
-        if gain[i] <= 0:
+        if gain[i] < 0.5:  # counts are whole but for the clean share: nothing but rounding is left
             break
-        out.append(raw[i : i + PIECE])
-        worth[place[i : i + width]] = 0
+        out.append(raw[i : i + segment])
+        for r in np.unique(place[i : i + width]):
+            p = by[edge[r] : edge[r + 1]]
+            for k in range(width):
+                q = p - k
+                q = q[(q >= 0) & (q < len(gain))]
+                gain[q] -= worth[r]
+            worth[r] = 0
     return b"".join(reversed(out))
 
 
-def _words(text: str) -> set[str]:
-    return set(_WORD.findall(text))
-
-
-def _five_grams(text: str) -> set[str]:
-    return {w[i : i + 5] for x in _words(text) for w in (f" {x} ",) for i in range(len(w) - 4)}
+def _halves(texts: list[str]) -> tuple[list[str], np.ndarray, list[str]]:
+    """Texts of every second group of copies, their groups, and the other texts (the same ones where there is one group)."""
+    g = copies(texts)
+    a = [t for t, x in zip(texts, g) if x % 2 == 0]
+    return a, g[g % 2 == 0], [t for t, x in zip(texts, g) if x % 2] or a
 
 
 def fit(toxic: list[str], clean: list[str]) -> Model | None:
-    """Dictionaries from the even rows, thresholds from the odd ones; None where a class has no row."""
+    """Dictionaries from one half of the groups of copies, thresholds from the other; None where a class has no row."""
     toxic, clean = [t.lower() for t in toxic], [t.lower() for t in clean]
     if not toxic or not clean:
         return None
-    t0, c0 = _distinct(toxic[::2]), _distinct(clean[::2])
-    t1, c1 = toxic[1::2] or t0, clean[1::2] or c0
-    share = len(t0) / (len(t0) + len(c0))
-
-    def over(parts) -> set[str]:
-        """Parts of texts that are over-represented in toxic ones, by their ratio and by the G-statistic of their counts."""
-        seen_t, seen_c = Counter(g for x in t0 for g in parts(x)), Counter(g for x in c0 for g in parts(x))
-
-        def surprise(t: int, c: int) -> float:
-            return 2 * (t * math.log(t / ((t + c) * share)) + (c * math.log(c / ((t + c) * (1 - share))) if c else 0.0))
-
-        return {g for g, t in seen_t.items() if t >= 4 and t * (1 - share) > RATIO * (c := seen_c[g]) * share and surprise(t, c) > SURPRISE}
-
-    marks, known = over(_five_grams), over(_words)
-    often = Counter(w for x in t0 for w in _words(x))
-    special = [w for w, n in often.most_common() if w in known or n > 1 and any(g in marks for g in _five_grams(w))]
-    among = set(special)
-    samples = [f" {w} ".encode() for x in t0 for w in _WORD.findall(x) if w in among]
-    words = _train(samples, max(256, min(WORD_BYTES, 24 * len(special)))) if samples else b""
-    for w in special:  # words that training left out or cut short
-        if f" {w} ".encode() not in words:
-            words = f" {w} ".encode() + words
-    ordinary, pieces = _train(_pieces(c0), ORDINARY_BYTES) + PRIMER, _contrast(t0, c0, max(TOXIC_BYTES))
-    co, model, best = _compressor(ordinary), Model(ordinary, words + ordinary, 1, math.inf), -math.inf
-    for size in TOXIC_BYTES:
-        own = pieces[-size:] + words + ordinary
+    # every second group of copies trains; what calibrates has no copy among it
+    (t0, g0, t1), (c0, h0, c1) = map(_halves, (toxic, clean))
+    ordinary = _train(_pieces(c0), ORDINARY_BYTES) + PRIMER
+    co, model, best = _compressor(ordinary), Model(ordinary, ordinary, 1, math.inf), -math.inf
+    (it, tb), (ic, cb) = packed(pa.array(t1, pa.string())), packed(pa.array(c1, pa.string()))
+    nt, nc, lt, lc = np.bincount(it, minlength=len(t1)), np.bincount(ic, minlength=len(c1)), lengths(tb, co), lengths(cb, co)
+    trained = [(n, train_toxic(t0, c0, g0, h0, max(TOXIC_BYTES), n)) for n in SEGMENTS]
+    for own in dict.fromkeys(x[max(0, len(x) - size // n * n) :] + ordinary for n, x in trained for size in TOXIC_BYTES):
         ct = _compressor(own)
-        (it, dt), (ic, dc) = savings(pa.array(t1, pa.string()), co, ct), savings(pa.array(c1, pa.string()), co, ct)
-        nt, nc = np.bincount(it, minlength=len(t1)), np.bincount(ic, minlength=len(c1))
+        dt, dc = lt - lengths(tb, ct), lc - lengths(cb, ct)
         for w in range(1, 8):
             st = np.bincount(it, np.maximum(dt - w + 1, 0), minlength=len(t1))
             sc = np.bincount(ic, np.maximum(dc - w + 1, 0), minlength=len(c1))
             for noise in np.unique(np.array(NOISE) * sc.sum() / max(1, nc.sum())):
-                xt, xc = st - noise * nt, sc - noise * nc
-                for least in np.unique(xt[xt > 0]):
-                    gain = (xt >= least).mean() - CLEAN_COST * (xc >= least).mean()
-                    if gain >= best:
-                        best, model = gain, Model(ordinary, own, w, float(least), float(noise))
+                xt, xc = np.sort(st - noise * nt), np.sort(sc - noise * nc)
+                least = np.unique(xt[xt > 0])
+                if len(least):
+                    gain = 1 - np.searchsorted(xt, least) / len(xt) - CLEAN_COST * (1 - np.searchsorted(xc, least) / len(xc))
+                    i = len(gain) - 1 - int(gain[::-1].argmax())
+                    if gain[i] >= best:
+                        best, model = gain[i], Model(ordinary, own, w, float(least[i]), float(noise))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled documents of each class, those least by a hash of their id."""
+    """Fit on at most ``rows`` labelled documents of each class, those least by a hash of their id, in one task.
+
+    Labels with a null id or class and documents with a null text aren't used; a document labelled both ways is one of both;
+    labels of equal hash and id are one; repeated documents are used as often as they occur.  Only the model comes to the driver.
+    """
     lab = need(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
     ids = None
     for c in (1, 0):
         part = lab.where(F.col("toxic") == c).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         ids = part if ids is None else ids.unionByName(part)
-    got = need(docs, "doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    text, tox = got["text"].to_pylist(), got["toxic"].to_pylist()
-    return fit([t for t, x in zip(text, tox) if x == 1], [t for t, x in zip(text, tox) if x == 0])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        text, tox = t["text"].to_pylist(), t["toxic"].to_pylist()
+        model = fit([x for x, y in zip(text, tox) if y == 1], [x for x, y in zip(text, tox) if y == 0])
+        trim()
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    used = need(docs, "doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    got = used.groupBy(F.lit(0).alias("all")).applyInArrow(run, "model binary").first()
+    return pickle.loads(got["model"]) if got else None
 
 
 def toxic_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, windows, hits, saved) of the documents that ``model`` finds toxic, whole texts compressed.
 
-    Null and empty texts have no window and are never toxic; repeated rows are judged each for itself; without a model
-    (a class without labelled rows) nothing is; other columns are ignored.
+    Null and empty texts have no window and are never toxic; very long texts are cut to windows like others; a document is
+    found from the threshold on, equal to it included; repeated rows and null ids are judged each for itself; without a
+    model (a class without labelled rows) nothing is; an empty table gives an empty result; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, windows bigint, hits bigint, saved bigint"

@@ -205,13 +205,48 @@ def test_language_edges(spark):
 
 
 def test_toxicity_on_held_out_documents(spark, sf):
+    """Trained on half of the labels and held against the other; Spanish has 17 toxic documents to learn from, too few."""
     d = sf.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
     found = toxicity.toxic_documents(docs, model).select("doc_id", F.lit(1).alias("hit"))
-    r = labels.where("doc_id % 2 = 1").join(found, "doc_id", "left").groupBy("toxic").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share")).collect()
-    share = {x["toxic"]: x["share"] for x in r}
-    assert share[1] >= 0.5 and share[0] <= 0.05
+    test = labels.where("doc_id % 2 = 1").join(docs.select("doc_id", "lang"), "doc_id").join(found, "doc_id", "left")
+    share = {(r["lang"], r["toxic"]): r["share"] for r in test.groupBy("lang", "toxic").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share")).collect()}
+    print(share)
+    assert share["en", 1] >= 0.85 and share["fr", 1] >= 0.7 and share["de", 1] >= 0.35
+    assert all(v <= 0.09 for (_, toxic), v in share.items() if not toxic)
+    total = {r["toxic"]: r["share"] for r in test.groupBy("toxic").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share")).collect()}
+    assert total[1] >= 0.7 and total[0] <= 0.03
+
+
+def test_toxic_dictionary_equals_the_greedy_rule_done_slowly():
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(4))
+    clean = [" ".join(word() for _ in range(12)) for _ in range(12)]
+    toxic = [" ".join([word() for _ in range(6)] + ["vile brute"] + [word() for _ in range(3)]) for _ in range(8)] + ["brute"]
+    g, h = np.arange(9), np.arange(12)
+    n, k = toxicity.RUN, 10
+    has = lambda texts: Counter(r for t in texts for r in {t[i : i + n] for i in range(len(t) - n + 1)})
+    t, c = has(toxic), has(clean)
+    worth = {r: max(0.0, x - 1 - toxicity.CONTRAST * c[r] * 9 / 12) for r, x in t.items()}
+    raw, out = "".join(toxic), []
+    ends = np.cumsum([len(t) for t in toxic])
+    ok = lambda p: p + n <= ends[np.searchsorted(ends, p, side="right")]
+    while len(out) < 5:
+        gain = [sum(worth.get(raw[p : p + n], 0) for p in range(i, i + k - n + 1) if ok(p)) for i in range(len(raw) - k + 1)]
+        best = max(range(len(gain)), key=gain.__getitem__)
+        if gain[best] < 0.5:
+            break
+        out.append(raw[best : best + k])
+        for p in range(best, best + k - n + 1):
+            if ok(p):
+                worth[raw[p : p + n]] = 0
+    assert out and toxicity.train_toxic(toxic, clean, g, h, 5 * k, k).decode() == "".join(reversed(out))
+
+
+def test_copies_count_once():
+    a = "one two three four five six seven eight nine ten"
+    assert toxicity.copies([a, "other words that have nothing at all in common", a + " eleven", a]).tolist() == [0, 1, 0, 0]
 
 
 def test_toxic_phrase_of_ordinary_words():
@@ -250,11 +285,19 @@ def test_savings_equal_one_compression_a_window():
 
 
 def test_toxicity_edges(spark):
-    labels = spark.createDataFrame([(i, 0, int(i % 2 == 0)) for i in range(40)] + [(None, None, 1), (3, 1, None)], "doc_id bigint, quality int, toxic int")
-    rows = corpus()
-    assert toxicity.detect(frame(spark, rows), labels).count() <= len(rows)
+    """Texts that hold the phrase are found, whatever their row; nulls, empty and clean texts aren't; very long ones are cut to windows."""
+    rnd = random.Random(2)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    bad = " vermin swine dregs "
+    train = [(i, text(30) + (bad + text(9)) * (i % 2)) for i in range(80)]
+    rows = [(200, text(20) + bad), (200, text(20) + bad), (None, text(9) + bad), (201, text(20)), (202, None), (203, ""), (204, (text(30) + bad) * 3000), (205, "x" * 500_000), (206, " \n")]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(80)] + [(None, None, 1), (3, 1, None), (5, 0, 0)], "doc_id bigint, quality int, toxic int")
+    out = toxicity.detect(frame(spark, train + rows), labels).collect()
+    assert sorted((r["doc_id"] or 0) for r in out if not r["doc_id"] or r["doc_id"] >= 200) == [0, 200, 200, 204]
+    assert sum(r["doc_id"] % 2 for r in out if r["doc_id"] and r["doc_id"] < 200) >= 36 and all(r["hits"] <= r["windows"] and r["saved"] > 0 for r in out)
     assert toxicity.detect(frame(spark, []), labels).count() == 0
-    assert toxicity.detect(frame(spark, rows), labels.limit(0)).count() == 0
+    assert toxicity.detect(frame(spark, train), labels.limit(0)).count() == 0
+    assert toxicity.detect(frame(spark, train), labels.where("toxic = 1")).count() == 0
 
 
 # -- 4 decontamination

@@ -44,6 +44,28 @@ def runs(r: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(r[a]), slice(a, z)
 
 
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of a hash, from its upper 32 bits."""
+    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+_STEP = 65535
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Ascending distinct numbers as 16-bit differences; 65535 adds to the next one."""
+    d = np.diff(x, prepend=0)
+    far = d // _STEP
+    out = np.full(len(x) + int(far.sum()), _STEP, np.uint16)
+    out[np.cumsum(far + 1) - 1] = d % _STEP
+    return out.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    d = np.frombuffer(b, np.uint16)
+    return np.cumsum(d, dtype=np.int64)[d != _STEP]
+
+
 @dataclass
 class Words:
     """``hash`` and ``doc`` (index of the text) per token; ``first[d]:first[d+1]`` are those of text d."""

@@ -1,13 +1,13 @@
 """Operator 5, line dedup: two Bloom filters, then exact confirmation of the suspects.
 
-Pass one sets each line's bits in a filter of lines seen once and, for a line whose bits were all there already, in a
-filter of lines seen twice.  Every partition does so for itself; merging, a bit set by two partitions' once-filters counts as
-seen twice (a line of both has set all of its bits in both).  No repeated line escapes the twice-filter; a few others pass it.
-Pass two probes the twice-filter.  Only lines that pass it are shuffled, grouped by their text, and every
-occurrence but the first is removed.  Documents without a suspected line are never shuffled.
-
-The once-filters move as bit positions, K numbers a distinct line.  The twice-filter has BITS_PER_LINE bits a line up to
-MAX_BITS (64 MB); beyond that it passes more lines to the exact step, which alone decides.
+Documents fall into groups of bounded bytes.  A group sends the hashes of its distinct lines, about 2 bytes each, to ranges of the
+hash.  A range has two filters of its own, 16 bits a line: one of lines seen once and, for a line whose bits were all there already,
+one of lines seen twice; it answers each group with a bit a line.  No line of two groups escapes the twice-filter; a few others pass
+it.  Only suspects are shuffled as text, the first of each group, and compared exactly; what a group holds of a line that begins
+elsewhere goes, and repeats within a group are settled there.
+
+Filters grow in number with the corpus, not in size; none is broadcast or comes to the driver.  The texts are shuffled once (all
+three passes read the same exchange).
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import cut, need
-from ._text import mix
+from ._spark import need, text_bytes, trim
+from ._text import mix, pack, range_of, runs, unpack
 
 BITS_PER_LINE = 16
-MAX_BITS = 1 << 29
 K = 4
-SEGMENTS = 64
+GROUP_BYTES = 3 << 20
+RANGE_BYTES = 32 << 20
+#: Bits of a line's hash that are sent within its range.
+LOW = 28
 _BLANK = " \t\r"
 
 
@@ -36,128 +38,122 @@ def line_keys(text: str) -> list[str]:
     return [x.strip(_BLANK) for x in text.split("\n")]
 
 
-def _hashes(lines: list[str]) -> np.ndarray:
-    """64-bit hashes of lines; 0 for blank ones."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) | 1 if x else 0 for x in lines), np.uint64, len(lines))
-
-
-def positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """K bit positions of each hash."""
-    a, b = h, mix(h) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(K)], axis=1).astype(np.int64)
-
-
-def _size(docs: DataFrame) -> int:
-    """Bits of the filters: a power of two, from the number of lines."""
-    n = docs.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
-    return min(MAX_BITS, 1 << max(12, int(n * BITS_PER_LINE).bit_length()))
-
-
-def twice_filter(docs: DataFrame, bits: int) -> np.ndarray:
-    """The merged filter of lines seen twice, as packed bits (bits / 8 bytes, 64 MB at most)."""
-    width = bits // SEGMENTS
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in batches:
-            for t in b.column(0):
-                if t.as_py() is not None:
-                    held.append(_hashes(line_keys(t.as_py())))
-        h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0))
-        h, n = h[h != 0], n[h != 0]
-        # bits set by several local lines stay in the once-filter: only a line repeated as a whole is seen twice
-        once, twice = np.unique(positions(h, bits)), np.unique(positions(h[n > 1], bits))
-        for flag, p in ((False, once), (True, twice)):
-            edge = np.searchsorted(p, np.arange(SEGMENTS + 1) * width)
-            rows = [(s, (p[edge[s] : edge[s + 1]] - s * width).astype(np.uint32).tobytes()) for s in range(SEGMENTS) if edge[s] < edge[s + 1]]
-            if rows:
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([flag] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], names=["seg", "twice", "at"])
-
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(width, bool), np.zeros(width, bool)
-        for b in batches:
-            for flag, at in zip(b.column(1), b.column(2)):
-                p = np.frombuffer(at.as_py(), np.uint32)
-                if flag.as_py():
-                    twice[p] = True
-                else:
-                    twice[p] |= once[p]
-                    once[p] = True
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["seg", "bits"])
-
-    got = need(docs, "text").mapInArrow(local, "seg int, twice boolean, at binary").groupBy("seg").applyInArrow(merge, "seg int, bits binary").collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for r in got:
-        out[r["seg"] * width // 8 : (r["seg"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
+def hashes(lines: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
+
+
+def low(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64((1 << LOW) - 1)).astype(np.int64)
+
+
+def twice(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each number of each set (distinct numbers): whether it passes the filter of those that two sets have."""
+    bits = np.uint64(1 << max(6, int(BITS_PER_LINE * sum(map(len, sets))).bit_length()))
+    once_seen, twice_seen = np.zeros(int(bits), bool), np.zeros(int(bits), bool)
+
+    def positions(x: np.ndarray) -> np.ndarray:
+        a = mix(x.astype(np.uint64))
+        b = mix(a) | np.uint64(1)
+        return np.stack([(a + np.uint64(i) * b) % bits for i in range(K)], axis=1).astype(np.int64)
+
+    for x in sets:
+        at = positions(x)
+        again = once_seen[at].all(1)
+        twice_seen[at[again]] = True
+        once_seen[at] = True
+    return [twice_seen[positions(x)].all(1) for x in sets]
+
+
+def _rows(t: pa.Table, key: int, at: int) -> list[tuple]:
+    """((has an id, id, hash of the text), row, lines) of a group's rows with a text, in the order of occurrences."""
+    out = []
+    for i, (k, h, x) in enumerate(zip(t.column(key).to_pylist(), t["h_"].to_pylist(), t.column(at).to_pylist())):
+        if x is not None:
+            out.append(((k is not None, 0 if k is None else k, h), i, line_keys(x)))
+    out.sort(key=lambda r: r[0])
     return out
 
 
+def _lines(rows: list[tuple]) -> dict[str, tuple]:
+    """The place (id, hash, line number) where each line with content occurs first."""
+    first: dict[str, tuple] = {}
+    for place, _, x in rows:
+        for no, line in enumerate(x):
+            if line and line not in first:
+                first[line] = (*place, no)
+    return first
+
+
 def _dedup(docs: DataFrame) -> DataFrame:
     """Columns c0, c1, ... of ``docs`` in their order, texts deduplicated, then n_lines and n_removed."""
+    _, size = text_bytes(need(docs, "doc_id", "text").select("text"))
     names = docs.columns
-    base = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = names.index("text")
-    txt, key = f"c{at}", f"c{names.index('doc_id')}"
-    bits = _size(base.select(F.col(txt).alias("text")))
-    seen = docs.sparkSession.sparkContext.broadcast(twice_filter(base.select(F.col(txt).alias("text")), bits))
-    plain = [T.StructField(f.name, f.dataType, True) for f in base.schema]
-    marked = T.StructType([*plain, T.StructField("hash", T.LongType()), T.StructField("suspects", T.ArrayType(T.IntegerType()))])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = seen.value
-        for b in batches:
-            hashes, lists = [], []
-            for t in b.column(at):
-                t = t.as_py()
-                if t is None:
-                    hashes.append(None)
-                    lists.append([])
-                    continue
-                hashes.append(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63))
-                h = _hashes(line_keys(t))
-                p = positions(h, bits)
-                hit = ((filt[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(1) & (h != 0)
-                lists.append(np.flatnonzero(hit).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=[*b.schema.names, "hash", "suspects"])
-
-    probed = base.mapInArrow(probe, marked)
-    free, dirty = probed.where(F.size("suspects") == 0), probed.where(F.size("suspects") > 0)
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key_, hash_, no, line = [], [], [], []
-            for k, t, h, s in zip(*(c.to_pylist() for c in b.columns)):
-                x = line_keys(t)
-                key_ += [k] * len(s)
-                hash_ += [h] * len(s)
-                no += s
-                line += [x[i] for i in s]
-            yield pa.record_batch([pa.array(key_, b.schema.field(0).type), pa.array(hash_, pa.int64()), pa.array(no, pa.int32()), pa.array(line, pa.string())], names=["id", "hash", "no", "line"])
-
-    kind = base.schema[key].dataType.simpleString()
-    found = cut(dirty.select(key, txt, "hash", "suspects").mapInArrow(lines, f"id {kind}, hash bigint, no int, line string"))
+    n, key, at = len(names), names.index("doc_id"), names.index("text")
+    groups, ranges = max(1, -(-size // GROUP_BYTES)), max(4, -(-size // RANGE_BYTES))
+    base = docs.toDF(*[f"c{i}" for i in range(n)])
+    done = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in base.schema], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    base = base.withColumn("h_", F.xxhash64(f"c{at}"))
+    # rows that are alike in id and text are spread by the partition they come from, so that no group is hot
+    base = base.withColumn("p_", F.pmod(F.xxhash64(f"c{key}", "h_", F.spark_partition_id()), F.lit(groups)).cast("int"))
+
+    def sent(rows: list[tuple]) -> tuple[list[str], np.ndarray, list[tuple[int, slice]]]:
+        """A group's distinct lines, their hashes in order, and the ranges that occur."""
+        lines = sorted({x for _, _, ls in rows for x in ls if x})
+        h = hashes(lines)
+        o = np.argsort(h, kind="stable")
+        h = h[o]
+        return [lines[i] for i in o], h, list(runs(range_of(h, ranges)))
+
+    def send(k: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        _, h, spans = sent(_rows(t, key, at))
+        trim()
+        return pa.table([pa.array([r for r, _ in spans], pa.int32()), pa.array([k[0].as_py()] * len(spans), pa.int32()), pa.array([pack(np.unique(low(h[s]))) for _, s in spans], pa.binary())], names=["r", "p", "lines"])
+
+    def meet(k: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        hits = twice([unpack(x.as_py()) for x in t["lines"]])
+        rows = [(p, np.packbits(x).tobytes()) for p, x in zip(t["p"].to_pylist(), hits) if x.any()]
+        trim()
+        return pa.table([pa.array([p for p, _ in rows], pa.int32()), pa.array([k[0].as_py()] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["p", "r", "hits"])
+
+    kind = base.schema[f"c{key}"].dataType
+
+    def suspect(k: tuple[pa.Scalar, ...], t: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if t.num_rows and known.num_rows:
+            rows = _rows(t, key, at)
+            lines, h, spans = sent(rows)
+            told, first = dict(zip(known["r"].to_pylist(), known["hits"].to_pylist())), _lines(rows)
+            for r, s in spans:
+                if r in told:
+                    _, number = np.unique(low(h[s]), return_inverse=True)
+                    hit = np.unpackbits(np.frombuffer(told[r], np.uint8))[number].astype(bool)
+                    out += [(x, *first[x]) for x in (lines[s.start + i] for i in np.flatnonzero(hit))]
+        trim()
+        cols = [pa.array([x[0] for x in out], pa.string()), pa.array([k[0].as_py()] * len(out), pa.int32()), pa.array([x[2] if x[1] else None for x in out], t.schema.field(key).type if t.num_rows else None)]
+        cols += [pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.int32())]
+        return pa.table(cols, names=["line", "p", "id", "hash", "no"])
+
+    def finish(k: tuple[pa.Scalar, ...], t: pa.Table, lost: pa.Table) -> pa.Table:
+        text, count, gone = t.column(at).to_pylist(), np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows, np.int64)
+        rows, elsewhere = _rows(t, key, at), set(lost["line"].to_pylist())
+        first = _lines(rows)
+        for place, i, x in rows:
+            stay = [not line or line not in elsewhere and first[line] == (*place, no) for no, line in enumerate(x)]
+            count[i], gone[i] = len(x), len(x) - sum(stay)
+            if gone[i]:
+                text[i] = "\n".join(v for v, s in zip(text[i].split("\n"), stay) if s)
+        cols = [t.column(i) for i in range(n)]
+        cols[at] = pa.array(text, t.schema.field(at).type)
+        trim()
+        return pa.table([*cols, pa.array(count), pa.array(gone)], names=done.names)
+
+    by = base.groupBy("p_")
+    known = by.applyInArrow(send, "r int, p int, lines binary").groupBy("r").applyInArrow(meet, "p int, r int, hits binary")
+    found = by.cogroup(known.groupBy("p")).applyInArrow(suspect, f"line string, p int, id {kind.simpleString()}, hash bigint, no int")
     place = F.struct("id", "hash", "no")
     first = found.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first")
-    gone = found.join(first, "line").where(~place.eqNullSafe(F.col("first"))).groupBy("id", "hash").agg(F.collect_set("no").alias("gone"))
-    rest = dirty.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("id")) & (dirty["hash"] == gone["hash"]), "left").select(*base.columns, "gone")
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text, n, k = [], [], []
-            for t, g in zip(b.column(at), b.column(len(names))):
-                t = t.as_py()
-                x = [] if t is None else t.split("\n")
-                n.append(len(x))
-                g = set(g.as_py() or ())
-                k.append(len(g))
-                text.append("\n".join(v for i, v in enumerate(x) if i not in g) if g else t)
-            cols = list(b.columns[:-1])
-            cols[at] = pa.array(text, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(k, pa.int64())], names=[*b.schema.names[:-1], "n_lines", "n_removed"])
-
-    done = T.StructType([*plain, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    whole = free.select(*base.columns, F.when(F.col(txt).isNull(), F.lit(0)).otherwise(F.size(F.split(txt, "\n", -1))).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
-    return whole.unionByName(rest.mapInArrow(drop, done))
+    lost = found.join(first, "line").where(~place.eqNullSafe(F.col("first"))).select("p", "line")
+    return by.cogroup(lost.groupBy("p")).applyInArrow(finish, done)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -165,8 +161,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     The first occurrence in order of (doc_id, line) stays; a null doc_id comes first; rows of one doc_id are ordered by a
     hash of their text, and rows alike in both are one occurrence and keep the same lines.  Lines are compared without
-    blanks at their ends; blank lines always stay.  A text all of whose lines go is empty; null stays null with 0 lines;
-    every row stays and all other columns are unchanged.
+    blanks at their ends; blank lines always stay.  A text all of whose lines go is empty; null stays null with 0 lines; very
+    long texts are a group of their own; an empty table gives an empty result; every row stays and all other columns, whatever
+    their names, are unchanged.
     """
     names = docs.columns
     keep = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in ("n_lines", "n_removed")]
@@ -176,8 +173,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs``, columns unchanged, without repeated lines; documents whose lines with content were all removed are dropped.
 
-    Documents that had no such line to begin with (null, empty, blank) stay.
+    Documents that had no such line to begin with (null, empty, blank) stay.  Order, ties, repeated rows, null ids and very long
+    texts are ``dedup_lines``'s; an empty table gives an empty result.
     """
+    need(docs, "doc_id", "text")
     text = F.col(f"c{docs.columns.index('text')}")
     some = F.length(F.translate(text, " \t\r\n", "")) > 0
     return _dedup(docs).where((F.col("n_removed") == 0) | some).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut, integer_ids, need, text_bytes, trim
-from ._text import mix, rolling, runs, windows_in_doc, words
+from ._text import mix, pack, range_of, rolling, runs, unpack, windows_in_doc, words
 from .components import components, forest
 
 N = 3
@@ -106,35 +106,15 @@ def _ints(x, kind) -> np.ndarray:
     return np.frombuffer(x.as_py(), kind)
 
 
-def _range(gram: np.ndarray, ranges: int) -> np.ndarray:
-    """Range of a hash, from its upper 32 bits."""
-    return ((gram >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-
 #: Bits of a gram that are sent within its range.  Two grams that share them are counted as one, which only makes the exact step
 #: see a few more n-grams.
 LOW = 28
-_STEP = 65535
 
 
 def _low(gram: np.ndarray) -> np.ndarray:
     return (gram & np.uint64((1 << LOW) - 1)).astype(np.int64)
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Ascending distinct numbers as 16-bit differences; 65535 adds to the next one."""
-    d = np.diff(x, prepend=0)
-    far = d // _STEP
-    out = np.full(len(x) + int(far.sum()), _STEP, np.uint16)
-    out[np.cumsum(far + 1) - 1] = d % _STEP
-    return out.tobytes()
-
-
-def unpack(b: bytes) -> np.ndarray:
-    d = np.frombuffer(b, np.uint16)
-    return np.cumsum(d, dtype=np.int64)[d != _STEP]
-
-
 def rarity(count: np.ndarray) -> np.ndarray:
     """Counts as classes of a byte, in their order."""
     return np.minimum(12 * np.log2(count), 255).astype(np.uint8)
@@ -174,13 +154,13 @@ def candidates(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         t, count, least = _distinct(t)
         p, (row, gram) = key[0].as_py(), raw_grams(t["text"], n)
         gram = np.sort(gram)
-        rows = [(i, p, pack(np.unique(_low(gram[s])))) for i, s in runs(_range(gram, ranges))]
+        rows = [(i, p, pack(np.unique(_low(gram[s])))) for i, s in runs(range_of(gram, ranges))]
         some = np.unique(row)  # texts with words
         a = t["a"].to_numpy()[some].view(np.uint64)
         o = np.argsort(a, kind="stable")
         some, a = some[o], a[o]
         sign = np.stack([a.view(np.int64), t["b"].to_numpy()[some], least[some], count[some]], 1)
-        rows += [(ranges + i, p, np.ascontiguousarray(sign[s]).tobytes()) for i, s in runs(_range(a, ranges))]
+        rows += [(ranges + i, p, np.ascontiguousarray(sign[s]).tobytes()) for i, s in runs(range_of(a, ranges))]
         trim()
         return _blobs("r p data", [pa.int32(), pa.int32(), pa.binary()], rows)
 
@@ -240,7 +220,7 @@ def candidates(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         _, doc, number, gram = gram_sets(np.arange(t.num_rows), t["text"], n)
         # class of how many groups have each gram: -1 where only this one has
         cls = np.full(len(gram), -1, np.int64)
-        span = dict(runs(_range(gram, ranges)))
+        span = dict(runs(range_of(gram, ranges)))
         for i, r in told.items():
             if r in span:
                 s = span[r]
@@ -307,7 +287,7 @@ def _links(found: DataFrame, parts: int, threshold: float) -> DataFrame:
             if not g:
                 continue
             gram, who = np.concatenate(g), np.repeat(np.arange(len(key)), [len(x) for x in g])
-            r = _range(gram, parts)
+            r = range_of(gram, parts)
             o = np.argsort(r, kind="stable")
             rows = []
             for i, s in runs(r[o]):
@@ -371,7 +351,7 @@ def block_pairs(placed: DataFrame, parts: int) -> DataFrame:
             n = [len(x) for x in g]
             gram = np.concatenate(g) ^ mix(np.repeat(comp, n).view(np.uint64))
             both = np.unique(np.stack([gram, np.repeat(block, n).view(np.uint64)], 1), axis=0)
-            rows = [(i, np.ascontiguousarray(both[s]).tobytes()) for i, s in runs(_range(both[:, 0], parts))]
+            rows = [(i, np.ascontiguousarray(both[s]).tobytes()) for i, s in runs(range_of(both[:, 0], parts))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=["r", "data"])
 
     def meet(t: pa.Table) -> pa.Table:
@@ -397,7 +377,7 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not g:
             continue
         gram, row = np.concatenate(g), np.repeat(np.arange(len(g)), [len(x) for x in g])
-        cell = _range(gram, FRAGMENTS) * len(g) + row
+        cell = range_of(gram, FRAGMENTS) * len(g) + row
         o = _packed_order(cell, 40)
         edge = np.searchsorted(cell[o], np.arange(FRAGMENTS * len(g) + 1))
         gram = gram[o].astype("<u8").tobytes()
@@ -546,6 +526,7 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
     documents without a partner stay, those without words (null and empty texts) among them.  An empty table gives an
     empty result; other columns, whatever their names, aren't looked at.
     """
+    need(docs, "doc_id", "text")
     names = docs.columns
     base = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index('doc_id')}", F.col(f"c{names.index('text')}")

@@ -26,6 +26,11 @@ def low(i):
     return (i is not None, i or 0)
 
 
+def signed_hash(text):
+    x = xxhash.xxh64_intdigest(text.encode(), 42)
+    return x - (x >> 63 << 64)
+
+
 def repetition(text, least):
     """(words, repeated words, longest repeat)."""
     w = toks(text)
@@ -49,20 +54,20 @@ def quality(text, least, share, longest):
 
 
 def line_dedup(rows):
-    """[(doc_id, text)] -> [(doc_id, text, n_lines, n_removed, had content, has content)] in the same order."""
-    seen = {}
-    place = lambda i, t, no: (low(i), xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63), no)
-    for i, t in rows:
+    """[(doc_id, text)] -> [(doc_id, text, lines, lines removed)] in the same order."""
+    at = [(low(i), signed_hash(t)) if t is not None else None for i, t in rows]
+    first = {}
+    for place, (_, t) in zip(at, rows):
         for no, x in enumerate((t or "").split("\n")):
             if t is not None and (k := x.strip(" \t\r")):
-                seen.setdefault(k, []).append(place(i, t, no))
+                first[k] = min(first.get(k, (*place, no)), (*place, no))
     out = []
-    for i, t in rows:
+    for place, (i, t) in zip(at, rows):
         if t is None:
             out.append((i, None, 0, 0))
             continue
         x = t.split("\n")
-        keep = [v for no, v in enumerate(x) if not (k := v.strip(" \t\r")) or min(seen[k]) == place(i, t, no)]
+        keep = [v for no, v in enumerate(x) if not (k := v.strip(" \t\r")) or first[k] == (*place, no)]
         out.append((i, "\n".join(keep), len(x), len(x) - len(keep)))
     return out
 
@@ -155,7 +160,7 @@ def decontaminated(rows, items, n):
 
 def repeats(rows, size):
     """[(doc_id, start word, end word, kept id)] of repeated windows."""
-    rows = sorted(rows, key=lambda r: (low(r[0]), r[1] is None, r[1] or ""))
+    rows = sorted((r for r in rows if r[1] is not None), key=lambda r: (low(r[0]), signed_hash(r[1])))
     first, out = {}, []
     for i, t in rows:
         w, spans = toks(t), []

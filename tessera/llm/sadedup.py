@@ -1,6 +1,6 @@
 """Operator 6, suffix-array dedup: passages of MIN_WORDS words or more that occur again.
 
-Documents fall into shards by a hash of their id.  A shard's words get a suffix array (Larsson-Sadakane) and common prefixes
+Documents fall into shards by a hash.  A shard's words get a suffix array (Larsson-Sadakane) and common prefixes
 (Kasai); suffixes that share MIN_WORDS words or more are equal windows, and all but the first are repeats.  What is left to find
 are windows whose first occurrence lies in another shard:
 
@@ -10,7 +10,7 @@ are windows whose first occurrence lies in another shard:
 2. each shard sends the windows at those minimizers; they are merged in the same way, and all but the first of equal windows
    are repeats.  Windows at other minimizers are settled within their shard.
 
-The first occurrence is the least (doc_id, word).  Repeated windows are merged to spans.  The texts are shuffled once (both
+The first occurrence is the least (doc_id, hash of the text, word).  Repeated windows are merged to spans.  The texts are shuffled once (both
 rounds read the same exchange); a shard is bounded in bytes, so memory doesn't grow with the corpus.
 """
 
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import group_of, need, text_bytes, trim
+from ._spark import integer_ids, need, text_bytes, trim
 from ._suffix import dense_ranks, lcp_array, suffix_array
-from ._text import mix, rolling, windows_in_doc, words
+from ._text import mix, range_of, rolling, runs, windows_in_doc, words
 
 MIN_WORDS = 50
 ANCHOR = 26
@@ -34,13 +34,16 @@ RANGE_BYTES = 24 << 20
 _NULL = -(1 << 63)
 
 
-def _shard(t: pa.Table):
-    """Ids (null as the least number) and words of a shard's rows in order of (id, text)."""
-    t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    ids = t["doc_id"].combine_chunks().fill_null(_NULL).to_numpy(zero_copy_only=False).astype(np.int64)
-    o = np.argsort(ids, kind="stable")  # nulls first
-    t = t.take(pa.array(o))
-    return ids[o], words(t["text"])
+def _shard(p: int, t: pa.Table):
+    """A shard's rows in order of (id, hash of the text): that (null ids as the least number), a number of each row that no other of
+    the same two has, and their words."""
+    ids, h = t["doc_id"].combine_chunks().fill_null(_NULL).to_numpy(zero_copy_only=False).astype(np.int64), t["h"].to_numpy()
+    o = np.lexsort((h, ids))
+    ids, h = ids[o], h[o]
+    at = np.arange(len(o))
+    head = np.append(True, (ids[1:] != ids[:-1]) | (h[1:] != h[:-1]))[: len(o)]
+    again = at - np.maximum.accumulate(np.where(head, at, 0))
+    return np.stack([ids, h, (p << 32) + again], 1), words(t["text"].take(pa.array(o)))
 
 
 def _minimizers(w, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +62,6 @@ def _minimizers(w, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(low[at])  # least values crowd at the low end; mixed they fill all ranges evenly
 
 
-def _runs(values: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
-    """The non-empty ranges of sorted 64-bit values, as (range, slice)."""
-    edges = (np.arange(ranges + 1, dtype=object) * (1 << 64) // ranges)[1:-1].astype(np.uint64)
-    cut = np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
-    for r in range(ranges):
-        if cut[r] < cut[r + 1]:
-            yield r, slice(cut[r], cut[r + 1])
-
-
 def shared(runs: list[np.ndarray]) -> np.ndarray:
     """Values in two or more of the runs, each sorted and free of repeats."""
     x = np.sort(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
@@ -122,29 +116,35 @@ def _row(r: int, p: int, kind: int, *blobs: np.ndarray) -> dict:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, kept_doc_id): maximal runs of repeated windows, first occurrences not among them.
 
+    doc_id must be an integer.
+
     Words are numbered from 0 without those that have no letter or digit, ends are exclusive; case and ASCII punctuation
     don't matter.  ``kept_doc_id`` is the least document that holds the first occurrence of a window of the span.  Null ids
-    count as the least id and stay null in the result; rows of one id are searched in order of their text, each as a
-    document of its own.  Texts of fewer than ``min_words`` words (null and empty ones too) have no span; other columns are
-    ignored.
+    count as the least id and stay null in the result; rows of one id (null ones too) are searched in order of a hash of their
+    text, each as a document of its own, repeated rows after the first in some order.  Texts of fewer than ``min_words`` words
+    (null and empty ones too) have no span; very long ones are a shard of their own; an empty table gives an empty result;
+    other columns are ignored.
     """
     anchor = max(1, min_words - (min_words - 2) // 2) if min_words != MIN_WORDS else ANCHOR
-    base = need(docs, "doc_id", "text")
+    base = integer_ids(need(docs, "doc_id", "text")).where("text is not null")
     _, size = text_bytes(base)
     shards = max(1, -(-size // SHARD_BYTES))
     ranges = max(4, -(-size // RANGE_BYTES))
-    base = base.select(group_of(F.col("doc_id"), shards).alias("p"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # rows that are alike in id and text are spread by the partition they come from, so that no shard is hot
+    h = F.xxhash64("text")
+    p = F.pmod(F.xxhash64("doc_id", h, F.spark_partition_id()), F.lit(shards)).cast("int")
+    base = base.select(p.alias("p"), F.col("doc_id").cast("bigint").alias("doc_id"), h.alias("h"), "text")
 
     def send(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        _, w = _shard(t)
+        _, w = _shard(0, t)
         low = np.unique(_minimizers(w, min_words, anchor)[1])
-        rows = [(r, key[0].as_py(), low[s].tobytes()) for r, s in _runs(low, ranges)]
+        rows = [(r, key[0].as_py(), low[s].tobytes()) for r, s in runs(range_of(low, ranges))]
         return pa.table([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["r", "p", "prints"])
 
     def meet(t: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x.as_py(), np.uint64) for x in t["prints"]]
-        both = shared(runs)
-        rows = [(p.as_py(), v.tobytes()) for p, x in zip(t["p"], runs) if len(v := x[contains(both, x)])]
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["prints"]]
+        both = shared(sets)
+        rows = [(p.as_py(), v.tobytes()) for p, x in zip(t["p"], sets) if len(v := x[contains(both, x)])]
         return pa.table([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int32(), pa.binary()))], names=["p", "prints"])
 
     def offer(key: tuple[pa.Scalar, ...], t: pa.Table, known: pa.Table) -> pa.Table:
@@ -153,26 +153,24 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         out: list[dict] = []
         if t.num_rows:
             p = key[0].as_py()
-            ids, w = _shard(t)
+            who, w = _shard(p, t)
             at, low = _minimizers(w, min_words, anchor)
             if len(at):
-                out = list(_offers(p, ids, w, at, low, known))
+                out = list(_offers(p, who, w, at, low, known))
         trim()
         return pa.table([pa.array([x[n] for x in out], k) for n, k in zip(names, kinds)], names=names)
 
-    def _offers(p, ids, w, at, low, known) -> Iterator[dict]:
-        # a row of a document that has several is told from the others by its number among them
-        again = np.arange(len(ids)) - np.searchsorted(ids, ids)
+    def _offers(p, who, w, at, low, known) -> Iterator[dict]:
         local, lead = within(w, min_words)
         got = [np.frombuffer(x.as_py(), np.uint64) for x in known["prints"]] if known.num_rows else []
         away = contains(np.sort(np.concatenate(got)), low) if got else np.zeros(len(at), bool)
         here = at[local[at] & ~away]  # no other shard has these windows, so the first one here is the first of all
         place = here - w.first[w.doc[here]]
-        a, z, src = _spans(place, ids[w.doc[lead[here]]], w.doc[here], min_words)
+        a, z, src = _spans(place, who[w.doc[lead[here]], 0], w.doc[here], min_words)
         if len(a):
             new = np.append(True, (here[1:] != here[:-1] + 1) | (w.doc[here][1:] != w.doc[here][:-1]))
             d = w.doc[here][new]
-            yield _row(p % ranges, p, 0, np.stack([ids[d], again[d]], 1), a, z, np.zeros(0, np.uint64), src)
+            yield _row(p % ranges, p, 0, who[d], a, z, np.zeros(0, np.uint64), src)
         at, low = at[away], low[away]
         if not len(at):
             return
@@ -183,17 +181,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         length = np.diff(np.append(head, len(at)))
         o = np.argsort(low[head], kind="stable")
         head, length = head[o], length[o]
-        for r, s in _runs(low[head], ranges):
+        for r, s in runs(range_of(low[head], ranges)):
             h, n = head[s], length[s]
             each = np.repeat(h - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            yield _row(r, p, 1, np.stack([ids[doc[h]], again[doc[h]]], 1), at[h] - w.first[doc[h]], n, prints[each], np.zeros(0, np.int64))
+            yield _row(r, p, 1, who[doc[h]], at[h] - w.first[doc[h]], n, prints[each], np.zeros(0, np.int64))
 
     def settle(t: pa.Table) -> pa.Table:
         i64 = lambda c, i: np.frombuffer(t[c][i].as_py(), np.int64)
-        doc, a, z, src = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        doc, a, z, src = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         who, where, prints = [], [], []
         for i, kind in enumerate(t["kind"].to_pylist()):
-            d, place, size = i64("doc", i).reshape(-1, 2), i64("place", i), i64("size", i)
+            d, place, size = i64("doc", i).reshape(-1, 3), i64("place", i), i64("size", i)
             if kind == 0:
                 doc.append(d)
                 a.append(place)
@@ -208,12 +206,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             s = np.sort(x)
             hit = np.flatnonzero(contains(np.unique(s[1:][s[1:] == s[:-1]]), x))
             x, d, place = x[hit], np.concatenate(who)[hit], np.concatenate(where)[hit]
-            o = np.lexsort((place, d[:, 1], d[:, 0], x))
+            o = np.lexsort((place, d[:, 2], d[:, 1], d[:, 0], x))
             x, d, place = x[o], d[o], place[o]
             new = np.append(True, x[1:] != x[:-1])[: len(x)]
             first = d[np.flatnonzero(new)][np.cumsum(new) - 1, 0] if len(x) else np.zeros(0, np.int64)
             d, place, first = d[~new], place[~new], first[~new]
-            o = np.lexsort((place, d[:, 1], d[:, 0]))
+            o = np.lexsort((place, d[:, 2], d[:, 1], d[:, 0]))
             d, place, first = d[o], place[o], first[o]
             if len(d):
                 one = np.concatenate([[0], np.cumsum((d[1:] != d[:-1]).any(1))])
@@ -225,7 +223,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 src.append(f)
         d = np.concatenate(doc)
         trim()
-        return pa.table([pa.array(np.ascontiguousarray(x)) for x in (d[:, 0], d[:, 1], np.concatenate(a), np.concatenate(z), np.concatenate(src))], names=["doc", "row", "a", "z", "src"])
+        return pa.table([pa.array(np.ascontiguousarray(x)) for x in (*d.T, np.concatenate(a), np.concatenate(z), np.concatenate(src))], names=["doc", "h", "row", "a", "z", "src"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,8 +244,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     groups = base.groupBy("p")
     known = groups.applyInArrow(send, "r int, p int, prints binary").groupBy("r").applyInArrow(meet, "p int, prints binary")
-    spans = groups.cogroup(known.groupBy("p")).applyInArrow(offer, _ROWS).groupBy("r").applyInArrow(settle, "doc bigint, row bigint, a bigint, z bigint, src bigint")
-    each = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("a", "z", "src")).alias("spans")).select("doc", "spans")
+    spans = groups.cogroup(known.groupBy("p")).applyInArrow(offer, _ROWS).groupBy("r").applyInArrow(settle, "doc bigint, h bigint, row bigint, a bigint, z bigint, src bigint")
+    each = spans.groupBy("doc", "h", "row").agg(F.collect_list(F.struct("a", "z", "src")).alias("spans")).select("doc", "spans")
     return each.mapInArrow(union, "doc_id bigint, start_word bigint, end_word bigint, kept_doc_id bigint")
 
 

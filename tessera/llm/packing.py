@@ -137,20 +137,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(bin, offset, doc_id, piece, start_word, n_words): where each piece of each document lies.
 
     Words are runs of characters other than white space.  Pieces of one document are numbered from 0; all but the last
-    have ``capacity`` words.  Null, empty and blank texts have no piece and no row.  Equal sizes are taken in order of
-    (doc_id, piece), null ids first; repeated rows are packed each for itself; an empty table gives an empty result; other
-    columns are ignored.
+    have ``capacity`` words, however long it is.  Null, empty and blank texts have no piece and no row.  Equal sizes are taken in order
+    of (doc_id, piece), null ids first; repeated rows are packed each for itself, in some order; an empty table gives an empty
+    result; other columns are ignored.  A capacity below 1 is an error.
     """
+    if capacity < 1:
+        raise ValueError(f"capacity must be 1 word at least, not {capacity}")
     spark = docs.sparkSession
     n = F.regexp_count("text", F.lit(r"\S+")).cast("bigint")
+    # the texts are read once; a number of the row tells repeated ones apart, so that no key is hot
+    counted = cut(need(docs, "doc_id", "text").select("doc_id", n.alias("n")).where("n > 0"))
     piece = (
-        need(docs, "doc_id", "text")
-        .select("doc_id", n.alias("n"))
-        .where("n > 0")
-        .select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / capacity))).alias("piece"))
-        .select("doc_id", "piece", (F.col("piece") * capacity).alias("start_word"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_words"))
+        counted.select("doc_id", "n", F.monotonically_increasing_id().alias("row"))
+        .select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / capacity))).alias("piece"))
+        .select("doc_id", "row", "piece", (F.col("piece") * capacity).alias("start_word"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_words"))
     )
-    ordered = cut(piece.repartitionByRange("n_words", "doc_id", "piece").sortWithinPartitions("n_words", "doc_id", "piece"))
+    ordered = cut(piece.repartitionByRange("n_words", "doc_id", "piece", "row").sortWithinPartitions("n_words", "doc_id", "piece", "row"))
     cnt = np.zeros(capacity + 1, np.int64)
     for r in ordered.groupBy("n_words").count().collect():  # at most ``capacity`` rows
         cnt[r["n_words"]] = r["count"]

@@ -14,11 +14,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from ._spark import need
 
-#: A public SentencePiece vocabulary of 32,000 pieces.
+#: A public SentencePiece vocabulary of 32,000 pieces.  It's a byte-pair model; the counts here are of the longest matches, which that
+#: model's own merges don't always give.
 VOCAB = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words kept with their counts by a Python worker; only speed depends on it.
@@ -105,24 +107,29 @@ class _Counts(dict):
         return n
 
 
-_made: dict[str, Automaton] = {}
+_made: dict[int, Automaton] = {}  # a worker's, by a hash of their pieces
 
 
-def counter(vocab: str) -> _Counts:
-    if vocab not in _made:
-        _made[vocab] = Automaton(load_pieces(vocab))
-    return _Counts(_made[vocab])
+def counter(pieces: list[str], key: int) -> _Counts:
+    if key not in _made:
+        _made.clear()
+        _made[key] = Automaton(pieces)
+    return _Counts(_made[key])
 
 
 def count_tokens(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
     """(doc_id, n_words, n_tokens) for every row of ``docs``, over whole texts.
 
-    ``vocab`` is the path of the vocabulary file, read once by each Python worker.  A null or empty text has 0 words and
-    0 tokens; null and repeated ids keep their rows; an empty table gives an empty result; other columns are ignored.
+    ``vocab`` is the path of the vocabulary file, read by the driver; its pieces are broadcast (about 0.5 MB, whatever the corpus).
+    A null or empty text has 0 words and 0 tokens; very long texts and words are read once, in linear time; null and repeated
+    ids keep their rows; an empty table gives an empty result; other columns are ignored.
     """
+    pieces = load_pieces(vocab)
+    key = xxhash.xxh3_64_intdigest("\n".join(pieces).encode())
+    held = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counter(vocab)
+        counts = counter(held.value, key)
         get = counts.__getitem__
         for b in batches:
             words, tokens = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
@@ -133,5 +140,5 @@ def count_tokens(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
                     counts.clear()
             yield pa.record_batch([b.column(0), pa.array(words), pa.array(tokens)], names=["doc_id", "n_words", "n_tokens"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = need(docs, "doc_id", "text").schema["doc_id"].dataType.simpleString()
     return need(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, n_tokens bigint")

@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, one of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, one of our own only where all run in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         own = sc._jsc.sc().getCheckpointDir()
     return own.get()
@@ -83,11 +86,6 @@ def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def group_of(key: Column, groups: int) -> Column:
-    """A stable group number in [0, groups) from a key that may be null."""
-    return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
-
-
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows and bytes of text, from one pass that reads only the text column."""
     r = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()

@@ -71,8 +71,9 @@ def _judge(b: pa.RecordBatch, at: int, min_words: int, max_covered: float, max_r
 def measure(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(doc_id, n_words, repeated_words, longest_repeat, covered, keep) for every row of ``docs``, over whole texts.
 
-    A text without words (null, empty, punctuation) has zeros and isn't kept; repeated rows are judged each for itself;
-    null ids keep their rows; an empty table gives an empty result; other columns are ignored.
+    A text without words (null, empty, punctuation) has zeros and isn't kept; a share or length at its limit is kept; very long
+    texts are searched whole, a text a batch; repeated rows are judged each for itself; null ids keep their rows; an empty table
+    gives an empty result; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,14 +85,18 @@ def measure(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MA
                     names=["doc_id", "n_words", "repeated_words", "longest_repeat", "covered", "keep"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = need(docs, "doc_id", "text").schema["doc_id"].dataType.simpleString()
     return need(docs, "doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_words bigint, repeated_words bigint, longest_repeat bigint, covered double, keep boolean"
     )
 
 
 def passing(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The rows of ``docs`` that ``measure`` keeps, all their columns unchanged and nothing moved between partitions."""
+    """The rows of ``docs`` that ``measure`` keeps, all their columns unchanged and nothing moved between partitions.
+
+    Nulls, empty and long texts, repeated rows and empty tables are ``measure``'s; columns are told apart by their place.
+    """
+    need(docs, "text")
     at = docs.columns.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may clash, places don't
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema])

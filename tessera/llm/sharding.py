@@ -30,6 +30,17 @@ def weight(node: Mapping | float) -> float:
     return sum(map(weight, node.values())) if isinstance(node, Mapping) else float(node)
 
 
+def checked(node: Mapping | float) -> None:
+    if not isinstance(node, Mapping):
+        if not 0 <= node < float("inf"):
+            raise ValueError(f"a weight must be 0 at least, not {node}")
+        return
+    for name, child in node.items():
+        if "/" in name:  # two paths could be one
+            raise ValueError(f"a name can't hold '/': {name!r}")
+        checked(child)
+
+
 def draw(key: Column, path: str, w: float) -> Column:
     """The child's draw: 52 bits of an md5 as a uniform number, through the inverse of the exponential distribution."""
     u = (F.conv(F.substring(F.md5(F.concat(key, F.lit("/" + path))), 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
@@ -50,9 +61,11 @@ def choose(key: Column, path: str, children: Mapping) -> Column:
 def assign_shards(docs: DataFrame, tree: Mapping = TREE) -> DataFrame:
     """(doc_id, region, rack, shard) for every row of ``docs``; reads only ``doc_id`` and moves nothing.
 
-    A null doc_id is placed as the key "null"; repeated ids land together; an empty table gives an empty result; other
-    columns are ignored.  A tree without positive weight gives nulls.
+    A null doc_id is placed as the key "null"; repeated ids land together, whatever their texts; an empty table gives an empty
+    result; texts and other columns are ignored.  Equal draws go to the lesser name.  A tree without positive weight gives
+    nulls; a name with "/" or a negative weight is an error.
     """
+    checked(tree)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     out = need(docs, "doc_id").withColumn("region", choose(key, "", tree))
 

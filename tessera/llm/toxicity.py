@@ -243,7 +243,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
 
     Labels with a null id or class and documents with a null text aren't used; a document labelled both ways is one of both;
     labels of equal hash and id are one; repeated documents are used as often as they occur.  Only the model comes to the driver.
+    doc_id must be of one type in both tables.
     """
+    kinds = [t.schema["doc_id"].dataType.simpleString() for t in (need(docs, "doc_id"), need(labels, "doc_id"))]
+    if kinds[0] != kinds[1]:
+        raise ValueError(f"doc_id is {kinds[0]} in the documents and {kinds[1]} in the labels")
     lab = need(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
     ids = None
     for c in (1, 0):
@@ -269,7 +273,7 @@ def toxic_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     found from the threshold on, equal to it included; repeated rows and null ids are judged each for itself; without a
     model (a class without labelled rows) nothing is; an empty table gives an empty result; other columns are ignored.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = need(docs, "doc_id", "text").schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, windows bigint, hits bigint, saved bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -358,13 +358,13 @@ def test_decontamination_of_nothing(spark):
 # -- 5 line dedup
 
 
-@pytest.mark.parametrize("bits", [None, 4096, 64])
-def test_line_dedup(spark, monkeypatch, bits):
-    """A filter so small that all lines collide gives the same result."""
-    if bits:
-        monkeypatch.setattr(linededup, "_size", lambda docs: bits)
-        monkeypatch.setattr(linededup, "SEGMENTS", 8)
-    rows = [*corpus(), (200, "same\nother\nsame\n\n same\t"), (201, "same"), (201, "same"), (202, "\n\n")]
+@pytest.mark.parametrize("small", [False, True])
+def test_line_dedup(spark, monkeypatch, small):
+    """Filters so small that many lines collide, and groups of a document each, give the same result."""
+    if small:
+        for name, value in (("GROUP_BYTES", 100), ("RANGE_BYTES", 500), ("BITS_PER_LINE", 0.5)):
+            monkeypatch.setattr(linededup, name, value)
+    rows = [*corpus(), (200, "same\nother\nsame\n\n same\t"), (201, "same"), (201, "same"), (202, "\n\n"), (203, "line of a long text\n" * 30_000 + "x" * 300_000)]
     docs = frame(spark, rows)
     expect = brute.line_dedup(rows)
     out = linededup.dedup_lines(docs)
@@ -380,13 +380,15 @@ def test_line_dedup_of_nothing(spark):
     assert linededup.deduped(frame(spark, [])).count() == 0
 
 
-def test_no_repeated_line_escapes_the_filter(spark):
-    docs = spark.createDataFrame([(i, f"own {i}\nshared {i // 2}") for i in range(200)], "doc_id bigint, text string").repartition(7)
-    filt = linededup.twice_filter(docs.select("text"), 1 << 14)
-    h = linededup._hashes([f"shared {i}" for i in range(100)] + [f"own {i}" for i in range(200)])
-    p = linededup.positions(h, 1 << 14)
-    hit = ((filt[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(1)
-    assert hit[:100].all() and hit[100:].mean() < 0.1
+def test_no_repeated_line_escapes_the_filter():
+    rng = np.random.default_rng(0)
+    own = np.unique(rng.integers(0, 1 << linededup.LOW, 40_000))
+    shared, own = own[:5000], np.array_split(rng.permutation(own[5000:]), 20)
+    sets = [np.unique(np.concatenate([x, shared[i % 10 :: 10], shared[(i + 1) % 10 :: 10]])) for i, x in enumerate(own)]
+    hits = linededup.twice(sets)
+    assert all(h[np.isin(x, shared)].all() for x, h in zip(sets, hits))
+    others = np.concatenate([h[~np.isin(x, shared)] for x, h in zip(sets, hits)])
+    assert others.mean() < 0.02
 
 
 # -- 6 suffix-array dedup
@@ -397,9 +399,10 @@ def test_suffix_array_dedup(spark, monkeypatch, shard):
     monkeypatch.setattr(sadedup, "SHARD_BYTES", shard)
     monkeypatch.setattr(sadedup, "RANGE_BYTES", max(shard, 1000))
     rows = corpus()
+    rows += [(None, f"{rows[1][1]} number {i}") for i in range(6)] + [(None, rows[1][1])] * 2 + [(500, "again " * 40_000)]
     out = sadedup.repeats(frame(spark, rows), 12)
     expect = brute.repeats(rows, 12)
-    assert len(expect) > 5
+    assert len(expect) > 12
     assert got(out, "doc_id", "start_word", "end_word", "kept_doc_id") == want(expect)
 
 
@@ -536,6 +539,53 @@ def test_a_changed_weight_moves_only_its_subtree(spark):
     assert sharding.assign_shards(docs.limit(0)).count() == 0
 
 
+def test_sharding_by_value(spark):
+    """Repeated rows, null ids and columns of clashing names are placed by id alone."""
+    docs = frame(spark, [(1, "a"), (1, "a"), (1, "b"), (None, None), (None, "x"), (2, "")])
+    docs = docs.withColumns({"region": F.lit("r"), "rack": F.lit("k"), "shard": F.lit("s")})
+    out = sharding.assign_shards(docs).collect()
+    assert Counter(r["doc_id"] for r in out) == {1: 3, None: 2, 2: 1}
+    assert len({tuple(r) for r in out}) == 3 and all(r["shard"] in sharding.TREE[r["region"]][r["rack"]] for r in out)
+    assert {tuple(r)[1:] for r in sharding.assign_shards(docs, {"east": {"r": {"s": 0.0}}}).collect()} == {(None, None, None)}
+    for tree in ({"a/b": {"c": {"d": 1.0}}}, {"a": {"b": {"c": -1.0}}}):
+        with pytest.raises(ValueError):
+            sharding.assign_shards(docs, tree)
+
+
+# -- what all have in common
+
+ALL = {
+    "op1": packing.pack, "op2": langid.detect, "op4": lambda d: decontam.find(d, d.sparkSession.createDataFrame([(1, "alpha")], "item_id int, text string")),
+    "op4_cleaned": lambda d: decontam.cleaned(d, d.sparkSession.createDataFrame([(1, "alpha")], "item_id int, text string")),
+    "op3": lambda d: toxicity.detect(d, d.sparkSession.createDataFrame([("1", 1), ("2", 0)], "id string, toxic int").selectExpr(f"cast(id as {dict(d.dtypes).get('doc_id', 'int')}) as doc_id", "toxic")),
+    "op5": linededup.dedup_lines, "op5_cleaned": linededup.cleaned, "op6": sadedup.repeats, "op7": ngramjoin.similar_documents, "op7_one_of_each": ngramjoin.one_of_each,
+    "op8": tokencount.count_tokens, "op9": quality.measure, "op9_passing": quality.passing, "op10": sharding.assign_shards,
+}
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_columns(spark, name):
+    """Names that differ in case alone, ids that are text, and a column that's missing."""
+    rows = [("1", "alpha beta gamma", "en", "TEXT", "ID"), ("2", "delta eps alpha", "fr", None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, Text string, DOC_ID string").repartition(2)
+    if name in ("op6", "op7", "op7_one_of_each"):
+        with pytest.raises(ValueError, match="must be an integer"):
+            ALL[name](docs)
+    else:
+        assert ALL[name](docs).count() >= (0 if name == "op3" else 1)
+    spark.conf.set("spark.sql.caseSensitive", "true")  # only to make the table: taken by place, its columns are no ambiguity
+    number = docs.withColumn("doc_id", docs["doc_id"].cast("bigint"))
+    spark.conf.unset("spark.sql.caseSensitive")
+    assert ALL[name](number).count() >= (0 if name in ("op3", "op6", "op7") else 1)
+    with pytest.raises(ValueError, match="missing columns"):
+        ALL[name](spark.createDataFrame([("x",)], "other string"))
+
+
+def test_a_capacity_of_nothing_is_an_error(spark):
+    with pytest.raises(ValueError):
+        packing.pack(frame(spark, []), 0)
+
+
 # -- pipeline
 
 

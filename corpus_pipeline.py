@@ -1,7 +1,9 @@
 """Corpus pipeline: quality rules, line dedup, near duplicates, benchmark decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that its predecessor kept.  All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, whatever others there are and however they are named, with their values unchanged but for
+``text``.  An empty table gives an empty one in every stage; very long texts are read whole.  What becomes of null ids, null and empty
+texts, ties and repeated rows is said at each stage.
 """
 
 from __future__ import annotations
@@ -15,27 +17,45 @@ from tessera.llm._spark import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep.
+
+    Texts without words (null, empty, punctuation) go; repeated rows are judged each for itself, null ids like others.
+    """
     return quality.passing(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; documents all of whose lines were repeats go."""
+    """Texts without repeated lines; documents all of whose lines were repeats go.
+
+    The first occurrence stays, in order of (doc_id, hash of the text, line), null ids first; rows alike in id and text keep
+    the same lines.  Null, empty and blank texts stay as they are.
+    """
     return linededup.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones."""
+    """One document of each group of similar ones, that of the least id.
+
+    Repeated rows of that id stay with it; null ids go where their group has another id, else all of it stays.  Null texts and
+    those without words are in no group and stay.
+    """
     return ngramjoin.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages."""
+    """Texts without benchmark passages; documents of which no word is left go.
+
+    Null texts, those without words, null ids and repeated rows stay, each for itself.
+    """
     return decontam.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed bins."""
+    """Where each piece of each document lies in the packed bins.
+
+    Null, empty and blank texts have no row; repeated rows and null ids are packed each for itself; pieces of one size are
+    taken in order of (doc_id, piece).
+    """
     return packing.pack(docs)
 
 

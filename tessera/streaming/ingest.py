@@ -35,7 +35,7 @@ def into_store(facts: DataFrame, store, checkpoint: str):
     def commit(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
             store.refresh()
-            store.add_facts(batch)
+            store.update(lambda tx: tx.add_frame(batch, count=False))
 
     return facts.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

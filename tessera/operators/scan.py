@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import FACT_KEY, IS_DEPRECATED, IS_PUBLIC, Fact, NotFound, StoreError, numeric, render, value_of
+from ..sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -90,16 +91,18 @@ def scan_pruned(facts: DataFrame, s=None, p=None, o=None, topic=None, entity_typ
 
 def tagged_scan(spark: SparkSession, tag: str, df: DataFrame) -> Iterator[Fact]:
     """Lazy cursor over a scan whose jobs carry ``tag``; ``cancel(spark, tag)`` ends it."""
-    spark.addTag(tag)
+    sc = spark.sparkContext
+    sc.addJobTag(tag)  # the context's tags hold in all threads, the session's only in the one that sets them
     try:
         for r in df.select("subject", "predicate", "o_kind", "o_text").toLocalIterator():
             yield Fact(r[0], r[1], value_of(r[2], r[3]))
     finally:
-        spark.removeTag(tag)
+        sc.removeJobTag(tag)
 
 
 def cancel(spark: SparkSession, tag: str) -> None:
-    spark.interruptTag(tag)
+    """End all jobs that carry ``tag``, from any thread."""
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def subjects(facts: DataFrame) -> DataFrame:
@@ -147,8 +150,9 @@ def predicates(facts: DataFrame) -> DataFrame:
     return facts.select("predicate").distinct()
 
 
-def count(facts: DataFrame) -> DataFrame:
-    return facts.select(*FACT_KEY).distinct().agg(F.count(F.lit(1)).alias("n_facts"))
+def count(facts: DataFrame, is_set: bool = False) -> DataFrame:
+    """The number of different facts; of a table that is a set already, its rows."""
+    return (facts if is_set else facts.select(*FACT_KEY).distinct()).agg(F.count(F.lit(1)).alias("n_facts"))
 
 
 def document_metadata(facts: DataFrame, topic: int | None = None) -> DataFrame:
@@ -166,7 +170,8 @@ def has_document(keys: DataFrame, facts: DataFrame, vectors: DataFrame, content:
 
 def get_content(content: DataFrame, ids: DataFrame) -> DataFrame:
     """(entity_id, data) for every id; null data where there is none, the last write where there are several."""
-    last = content.groupBy("entity_id").agg(F.max_by("data", "ingest_seq").alias("data"))
+    wanted = content.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")  # first: only their texts move
+    last = wanted.groupBy("entity_id").agg(F.max_by("data", "ingest_seq").alias("data"))
     return ids.join(last, "entity_id", "left").select("entity_id", "data")
 
 
@@ -186,11 +191,19 @@ def build_dictionary(facts: DataFrame, known: DataFrame | None = None) -> DataFr
 
 
 def number_rows(df: DataFrame, name: str, first: int = 1) -> DataFrame:
-    """``df`` with consecutive numbers in its present order."""
-    from pyspark.sql import types as T
+    """``df`` with consecutive numbers in its present order: the place in its partition, behind all rows of those before.
 
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first)), schema)
+    ``df`` is kept in the shared folder, so that partitions don't change between counting and numbering.
+    """
+    placed = cut(df).withColumn("id_", F.monotonically_increasing_id())
+    part, row = F.shiftright("id_", 33).cast("int"), F.col("id_").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}  # a row a partition
+    bases, at = [], first
+    for k in sorted(counts):
+        bases.append((k, at))
+        at += counts[k]
+    base = F.broadcast(df.sparkSession.createDataFrame(bases, "part_ int, base_ bigint"))
+    return placed.withColumn("part_", part).join(base, "part_").select(*df.columns, (F.col("base_") + row).alias(name))
 
 
 def lookup(dictionary: DataFrame, terms: DataFrame, strict: bool = False) -> DataFrame:

@@ -9,48 +9,64 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import render
+
+
+class Entity(NamedTuple):
+    """An entity's text, "name:key", and the integer column that the key comes from."""
+
+    name: str
+    key: str
+
+    def __str__(self) -> str:
+        return f"concat('{self.name}:', cast({self.key} as string))"
+
+    def where(self, text: str) -> str | None:
+        """Which rows have this text, as a filter of the key that reaches the scan; None: none can."""
+        name, _, key = text.partition(":")
+        digits = key.removeprefix("-")
+        ok = name == self.name and digits.isascii() and digits.isdigit() and str(int(key)) == key and abs(int(key)) < 1 << 62
+        return f"{self.key} = {key}" if ok else None
+
 
 @dataclass(frozen=True)
 class Relation:
     table: str
     topic: int
-    subject: str
+    subject: Entity
     predicate: str
     kind: str
-    object: str
+    object: str | Entity
     key: str  # integer that hints derive from
     entity_type: int = 0
     repeats: bool = False  # rows may yield the same fact again
 
 
-def _entity(name: str, key: str) -> str:
-    return f"concat('{name}:', cast({key} as string))"
-
-
 def _make() -> list[Relation]:
     out = []
 
     def add(table, topic, name, key, etype, *rels):
         for predicate, kind, obj in rels:
-            out.append(Relation(table, topic, _entity(name, key), predicate, kind, obj, key, etype))
+            out.append(Relation(table, topic, Entity(name, key), predicate, kind, obj, key, etype))
 
     add("region", 1, "region", "r_regionkey", 8, ("name", "str", "r_name"))
-    add("nation", 1, "nation", "n_nationkey", 8, ("in_region", "str", _entity("region", "n_regionkey")), ("name", "str", "n_name"))
-    add("customer", 1, "customer", "c_custkey", 3, ("in_nation", "str", _entity("nation", "c_nationkey")), ("segment", "str", "c_mktsegment"), ("acctbal", "f64", "c_acctbal"))
-    add("supplier", 1, "supplier", "s_suppkey", 5, ("in_nation", "str", _entity("nation", "s_nationkey")), ("acctbal", "f64", "s_acctbal"))
+    add("nation", 1, "nation", "n_nationkey", 8, ("in_region", "str", Entity("region", "n_regionkey")), ("name", "str", "n_name"))
+    add("customer", 1, "customer", "c_custkey", 3, ("in_nation", "str", Entity("nation", "c_nationkey")), ("segment", "str", "c_mktsegment"), ("acctbal", "f64", "c_acctbal"))
+    add("supplier", 1, "supplier", "s_suppkey", 5, ("in_nation", "str", Entity("nation", "s_nationkey")), ("acctbal", "f64", "s_acctbal"))
     add("part", 1, "part", "p_partkey", 6, ("brand", "str", "p_brand"), ("type", "str", "p_type"), ("size", "i32", "p_size"))
-    add("orders", 1, "order", "o_orderkey", 1, ("placed_by", "str", _entity("customer", "o_custkey")), ("status", "str", "o_orderstatus"), ("priority", "str", "o_orderpriority"), ("total", "f64", "o_totalprice"))
-    out.append(Relation("lineitem", 1, _entity("order", "l_orderkey"), "contains", "str", _entity("part", "l_partkey"), "l_orderkey", 1, True))
-    out.append(Relation("lineitem", 1, _entity("part", "l_partkey"), "supplied_by", "str", _entity("supplier", "l_suppkey"), "l_partkey", 6, True))
+    add("orders", 1, "order", "o_orderkey", 1, ("placed_by", "str", Entity("customer", "o_custkey")), ("status", "str", "o_orderstatus"), ("priority", "str", "o_orderpriority"), ("total", "f64", "o_totalprice"))
+    out.append(Relation("lineitem", 1, Entity("order", "l_orderkey"), "contains", "str", Entity("part", "l_partkey"), "l_orderkey", 1, True))
+    out.append(Relation("lineitem", 1, Entity("part", "l_partkey"), "supplied_by", "str", Entity("supplier", "l_suppkey"), "l_partkey", 6, True))
     add("documents", 2, "doc", "doc_id", 2, ("lang", "str", "lang"), ("source", "str", "source"), ("n_chars", "i64", "n_chars"))
     add("labels", 2, "doc", "doc_id", 2, ("quality", "i32", "quality"), ("toxic", "i32", "toxic"))
     add("embeddings", 2, "doc", "vec_id", 2, ("label", "i32", "label"))
-    out.append(Relation("events", 3, _entity("user", "user_id"), "did", "str", "event_type", "user_id", 0, True))
-    out.append(Relation("events", 3, _entity("event", "event_id"), "value", "f64", "value", "event_id", 0))
+    out.append(Relation("events", 3, Entity("user", "user_id"), "did", "str", "event_type", "user_id", 0, True))
+    out.append(Relation("events", 3, Entity("event", "event_id"), "value", "f64", "value", "event_id", 0))
     return out
 
 
@@ -70,12 +86,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def facts(spark: SparkSession, sf_dir: str, relations: list[Relation] | None = None) -> DataFrame:
-    """All facts, a set; ``semantic_hash`` is left to ``model.semantic_hash`` where it's needed."""
+def facts(spark: SparkSession, sf_dir: str, relations: list[Relation] | None = None, s: str | None = None, p: str | None = None, o: Any = None, topic: int | None = None) -> DataFrame:
+    """All facts, a set; ``semantic_hash`` is left to ``model.semantic_hash`` where it's needed.
+
+    With a bound position only relations that can match are read, and of a bound entity only the rows of its key: a filter on a
+    column of the table, which the scan takes.  Facts that don't match may be left; scans apply the pattern itself.
+    """
     parts = []
     for r in relations or RELATIONS:
-        df = table(spark, sf_dir, r.table).where(f"({r.object}) is not null and ({r.key}) is not null").selectExpr(*_columns(r))
+        bound = [r.subject.where(s)] if s else []
+        if o not in (None, "") and isinstance(r.object, Entity):
+            bound.append(r.object.where(render(o)[1]))
+        if None in bound or topic not in (None, r.topic) or p and p != r.predicate:
+            continue
+        df = table(spark, sf_dir, r.table).where(" and ".join([f"({r.object}) is not null", f"({r.key}) is not null", *bound])).selectExpr(*_columns(r))
         parts.append(df.distinct() if r.repeats else df)
+    if not parts:
+        r = (relations or RELATIONS)[0]
+        return table(spark, sf_dir, r.table).where("false").selectExpr(*_columns(r))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_vecs(spark: SparkSession, path: str, rows: int = 65536) -> DataFrame:
@@ -30,17 +30,27 @@ def read_vecs(spark: SparkSession, path: str, rows: int = 65536) -> DataFrame:
         raise ValueError(f"{path}: not rows of {dim} numbers")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
         for b in batches:
-            ids = b.column(0).to_numpy()
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, width)
-            values = np.ascontiguousarray(raw[:, 4:]).view(number)
-            at = pa.ListArray.from_arrays(np.arange(0, values.size + 1, dim, dtype=np.int32), pa.array(values.ravel()))
-            yield pa.record_batch([pa.array(ids), at], names=["id", "values"])
-
-    lines = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-    df = spark.createDataFrame(lines, "id bigint, raw binary")
-    return df.select(F.col("id"), "raw").mapInArrow(decode, f"id bigint, values {kind}")
+            for start, block in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = np.frombuffer(block.as_buffer(), np.uint8).reshape(-1, width)
+                if (np.ascontiguousarray(raw[:, :4]).view("<i4") != dim).any():
+                    raise ValueError(f"{path}: rows of several lengths")
+                values = np.ascontiguousarray(raw[:, 4:]).view(number)
+                lists = pa.ListArray.from_arrays(np.arange(0, values.size + 1, dim, dtype=np.int32), pa.array(values.ravel()))
+                yield pa.record_batch([pa.array(np.arange(start, start + len(raw))), lists], names=["id", "values"])
+
+    records = spark.sparkContext.binaryRecords(path, width)  # the JVM splits the file at whole records
+    counts = records.mapPartitionsWithIndex(lambda i, it: [(i, sum(1 for _ in it))]).collect()  # a number a partition
+    starts = dict(zip((i for i, _ in counts), np.cumsum([0, *(n for _, n in counts)]).tolist()))
+
+    def blocks(i: int, it: Iterator[bytes]) -> Iterator[tuple[int, bytearray]]:
+        at = starts[i]
+        while raw := list(islice(it, rows)):
+            yield at, bytearray(b"".join(raw))
+            at += len(raw)
+
+    df = spark.createDataFrame(records.mapPartitionsWithIndex(blocks), "id bigint, raw binary")
+    return df.mapInArrow(decode, f"id bigint, values {kind}")
 
 
 def write_vecs(path: str, values: np.ndarray) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import LimitExceeded, StoreError
+from ..plans.guard import JOIN_RESULTS
 from .scan import object_is
 
 _TOPIC = "__topic"
@@ -46,8 +47,11 @@ def _kind(v: str) -> str:
     return f"__kind_{v}"
 
 
-def _match(facts: DataFrame, pat: Pattern) -> DataFrame:
-    """Bindings of one pattern: a column and a kind per variable.  Entities (subject, predicate) have kind str."""
+def _match(facts: DataFrame, pat: Pattern, distinct: bool) -> DataFrame:
+    """Bindings of one pattern: a column and a kind per variable.  Entities (subject, predicate) have kind str.
+
+    Facts are a set, so bindings repeat only where a position is left open; there they are made distinct, if wanted.
+    """
     cond, seen = [], {}
     for term, col, kind in ((pat.s, "subject", F.lit("str")), (pat.p, "predicate", F.lit("str")), (pat.o, "o_text", F.col("o_kind"))):
         if term is None:
@@ -60,7 +64,8 @@ def _match(facts: DataFrame, pat: Pattern) -> DataFrame:
         else:
             seen[term[1:]] = (col, kind)
     df = facts.where(reduce(lambda a, b: a & b, cond)) if cond else facts
-    return df.select(F.col("topic_id").alias(_TOPIC), *[x for v, (c, k) in seen.items() for x in (F.col(c).alias(v), k.alias(_kind(v)))]).distinct()
+    df = df.select(F.col("topic_id").alias(_TOPIC), *[x for v, (c, k) in seen.items() for x in (F.col(c).alias(v), k.alias(_kind(v)))])
+    return df.distinct() if distinct and None in (pat.s, pat.p, pat.o) else df
 
 
 def order_patterns(patterns: list[Pattern], rows: Mapping[str, int] | None = None) -> list[Pattern]:
@@ -92,7 +97,8 @@ def bgp(
 ) -> DataFrame:
     """Bindings of ``result`` variables (default: all, sorted by name) that satisfy every pattern.
 
-    All patterns constrain, whether or not their variables are in the result.  Bindings are a set unless ``distinct`` is False.
+    All patterns constrain, whether or not their variables are in the result.  Bindings are a set unless ``distinct`` is False: then
+    each is as often there as facts make it.
     Patterns without a shared variable need ``allow_cross``.  ``cross_topic`` joins entities of different topics.
     """
     pats = [p if isinstance(p, Pattern) else Pattern(*p) for p in patterns]
@@ -103,7 +109,7 @@ def bgp(
     out: DataFrame | None = None
     known: set[str] = set()
     for p in order_patterns(pats, rows):
-        m = _match(facts, p)
+        m = _match(facts, p, distinct)
         if cross_topic:
             m = m.drop(_TOPIC)
         if out is None:
@@ -115,7 +121,10 @@ def bgp(
             on = [] if cross_topic else [_TOPIC]
             on += [c for v in keys for c in (v, _kind(v))]
             new = [v for v in p.vars if v not in known]
-            out = out.join(m, on, "inner" if new else "left_semi") if on else out.crossJoin(m)
+            if not on:
+                out = out.crossJoin(m)  # asked for by ``allow_cross``
+            else:
+                out = out.join(m, on, "inner" if new or not distinct else "left_semi")
         known |= set(p.vars)
     names = sorted(known) if result is None else result
     lost = [v for v in names if v not in known]
@@ -143,6 +152,12 @@ def seeded(facts: DataFrame, patterns: Iterable, seeds: DataFrame, seed_var: str
     return seeds.join(found, seed_var)
 
 
+def run_query(facts: DataFrame, patterns: Iterable[Pattern | tuple], result: list[str] | None = None, most: int | None = JOIN_RESULTS, **kw: Any) -> DataFrame:
+    """``bgp`` under the serving limit: more than ``most`` bindings are an error (None: no limit)."""
+    found = bgp(facts, patterns, result, **kw)
+    return found if most is None else limited(found, most)
+
+
 def limited(df: DataFrame, most: int) -> DataFrame:
     """The result if it has at most ``most`` rows, else LimitExceeded; reads no more than one row beyond."""
     if df.limit(most + 1).count() > most:

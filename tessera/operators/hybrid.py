@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..model import StoreError
 from ..plans.strategy import strategy
-from .bgp import Pattern, bgp
+from ..sources.shared import cut
+from .bgp import Pattern, bgp, ordered
 from .scan import find_subjects, get_content
 from .vector import top_k
 
@@ -92,8 +93,9 @@ class Find:
             if not self.patterns:
                 raise StoreError("a query needs a vector or patterns")
             found = bgp(self._facts(), self.patterns, list(self.result) or None)
-            return found if self.n is None else found.limit(self.n)
-        out = self.hits()
+            return found if self.n is None else ordered(found, self.n)
+        # a few rows that are used more than once: the vectors are scored only once for them
+        out = cut(self.hits()) if self.patterns or self.content is not None else self.hits()
         if self.patterns:
             found = bgp(self._facts(), self.patterns)
             if self.seed not in found.columns:
@@ -102,7 +104,7 @@ class Find:
             return out.join(found, out["key"] == found[self.seed]).select("id", "score", *keep)
         out = out.select("id", "key", "score")
         if self.content is not None:
-            text = get_content(self.content.join(out.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"), out.select(F.col("id").alias("entity_id")))
+            text = get_content(self.content, out.select(F.col("id").alias("entity_id")))
             out = out.join(text.select(F.col("entity_id").alias("id"), F.decode("data", "UTF-8").alias("content")), "id", "left").select("id", "key", "score", "content")
         return out
 

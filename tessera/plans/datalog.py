@@ -29,11 +29,11 @@ def closure(edges: DataFrame, rounds: int = 100) -> DataFrame:
     from ..sources.shared import cut
 
     base = cut(edges.select("s", "o").distinct())
-    out, new = base, base
+    out, new = base, base  # each round's pairs stay in their own files
     for _ in range(rounds):
         step = new.select(F.col("s"), F.col("o").alias("m")).join(base.select(F.col("s").alias("m"), "o"), "m").select("s", "o").distinct()
         new = cut(step.join(out, ["s", "o"], "left_anti"))
         if new.isEmpty():
             return out
-        out = cut(out.unionByName(new))
+        out = out.unionByName(new)
     raise LimitExceeded(f"no fixpoint after {rounds} rounds")

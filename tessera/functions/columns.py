@@ -39,6 +39,16 @@ def quantizer(bits: int = 8):
     return quantized
 
 
+def dequantizer(bits: int, dim: int):
+    """UDF from quantized bytes to array<float>."""
+
+    @pandas_udf(T.ArrayType(T.FloatType()))
+    def dequantized(c: pd.Series) -> pd.Series:
+        return pd.Series(list(kernels.dequantize(list(c), dim, bits).astype(np.float32))) if len(c) else pd.Series([], dtype=object)
+
+    return dequantized
+
+
 @pandas_udf(T.ArrayType(T.FloatType()))
 def l2_normalized(v: pd.Series) -> pd.Series:
     return pd.Series(list(kernels.l2_normalize(np.stack(v.to_numpy()).astype(np.float64)).astype(np.float32))) if len(v) else pd.Series([], dtype=object)

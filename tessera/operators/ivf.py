@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.columns import inverse_distance
 from .vector import block_top_k, matrix
 
 #: Vectors that centroids and codebook are trained on, at most.
@@ -52,9 +53,36 @@ def encode(vectors: DataFrame, centroids: np.ndarray, book: np.ndarray) -> DataF
     return vectors.where("embedding is not null").select(F.col("topic_id").cast("int"), F.col("entity_id").cast("bigint"), "embedding").mapInArrow(run, "topic_id int, centroid int, id bigint, codes binary")
 
 
+POSTINGS = "topic_id int, centroid int, id bigint, codes binary"
+
+
 def save(index: Index, path: str) -> None:
-    """Postings partitioned by topic and centroid: a search prunes to the probed ones."""
-    index.postings.repartition("topic_id", "centroid").write.mode("overwrite").partitionBy("topic_id", "centroid").parquet(path)
+    """Centroids, codebook and postings, these partitioned by centroid and topic: a search reads only the probed lists."""
+    spark = index.postings.sparkSession
+    c, b = np.ascontiguousarray(index.centroids, "<f8"), np.ascontiguousarray(index.book, "<f8")
+    model = spark.createDataFrame([(bytearray(c.tobytes()), list(c.shape), bytearray(b.tobytes()), list(b.shape))], "centroids binary, c_shape array<int>, book binary, b_shape array<int>")
+    _write(index.postings, f"{path}/postings", "overwrite")
+    model.coalesce(1).write.mode("overwrite").parquet(f"{path}/model")  # last: an index without a model was never finished
+
+
+def _write(postings: DataFrame, path: str, mode: str) -> None:
+    # by range, so that a long list is cut over several files and tasks
+    postings.repartitionByRange("centroid", "topic_id", "id").write.mode(mode).partitionBy("centroid", "topic_id").parquet(path)
+
+
+def load(spark, path: str) -> Index:
+    """A saved index; its postings stay on disk."""
+    m = spark.read.parquet(f"{path}/model").first()
+    c, b = (np.frombuffer(bytes(m[k]), "<f8").reshape(m[s]) for k, s in (("centroids", "c_shape"), ("book", "b_shape")))
+    return Index(c, b, spark.read.schema(POSTINGS).parquet(f"{path}/postings"))
+
+
+def add(spark, path: str, vectors: DataFrame) -> Index:
+    """Encode ``vectors`` with the saved centroids and codebook, append them to the index, and open it again."""
+    index = load(spark, path)
+    if not vectors.where("embedding is not null").limit(1).isEmpty():
+        _write(encode(vectors, index.centroids, index.book), f"{path}/postings", "append")
+    return load(spark, path)
 
 
 def search(index: Index, query, k: int = 10, probes: int = 32, topic: int | None = None, rerank: DataFrame | None = None, candidates: int | None = None) -> DataFrame:
@@ -90,8 +118,10 @@ def search(index: Index, query, k: int = 10, probes: int = 32, topic: int | None
     return top_k(rerank.join(out.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"), q, k, "l2")
 
 
-def search_batch(index: Index, queries: DataFrame, k: int = 10, probes: int = 32) -> DataFrame:
-    """(query_id, id, score) of ``search`` without a rerank for every row of ``queries`` (query_id, embedding).
+def search_batch(index: Index, queries: DataFrame, k: int = 10, probes: int = 32, rerank: DataFrame | None = None, candidates: int | None = None) -> DataFrame:
+    """(query_id, id, score) of ``search`` for every row of ``queries`` (query_id, embedding).
+
+    With ``rerank`` (the vectors) each query's best ``candidates`` (default 10 k) are scored again exactly.
 
     Blocks of postings meet blocks of queries on the executors; a list is scored for the queries that probe it, against its
     decoded vectors, which are as far from a query as the tables of its residual say.
@@ -118,4 +148,11 @@ def search_batch(index: Index, queries: DataFrame, k: int = 10, probes: int = 32
 
         return v["id"].to_numpy(), score
 
-    return block_top_k(index.postings.select("id", "centroid", "codes"), queries, k, prepare)
+    postings = index.postings.select("id", "centroid", "codes")
+    if rerank is None:
+        return block_top_k(postings, queries, k, prepare)
+    best = block_top_k(postings, queries, candidates or 10 * k, prepare).select("query_id", "id")
+    both = best.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(rerank.select(F.col("entity_id").alias("id"), F.col("embedding").alias("v")), "id")
+    d = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda t, x: t + x * x)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return both.select("query_id", "id", inverse_distance(d).alias("score")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")

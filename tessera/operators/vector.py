@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..model import DimensionMismatch, PartitionLimit
+from ..model import DimensionMismatch, LimitExceeded, PartitionLimit
+from ..plans.guard import TOP_K
 
 #: Bytes of the vectors in a block of a batched search, and queries scored at once against a block.
-BLOCK_BYTES, SLICE = 4 << 20, 1024
+BLOCK_BYTES, SLICE = 32 << 20, 1024
 
 
 def matrix(col, dim: int | None = None) -> np.ndarray:
@@ -110,7 +111,7 @@ def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, prepare: Callabl
     """(query_id, id, score): the k best of ``vectors`` (id and more) for every row of ``queries`` (query_id, embedding).
 
     Both sides are cut into blocks of bounded size and every pair of blocks meets on an executor, so no number of queries
-    or vectors is too large and none pass through the driver.  ``prepare`` makes of a block of vectors their ids and a
+    or vectors is too large and none pass through the driver; each side is sent once a block of the other.  ``prepare`` makes of a block of vectors their ids and a
     function from a query matrix to its scores, a column an id.
     """
     if k <= 0:
@@ -118,7 +119,8 @@ def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, prepare: Callabl
     r = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     dim = r["dim"]
     rows = max(1, BLOCK_BYTES // (8 * max(1, dim or 1)))
-    nq, nv = max(1, -(-r["n"] // rows)), max(1, -(-vectors.count() // rows))
+    n = vectors.count()
+    nq, nv = max(1, -(-r["n"] // rows)), max(1, -(-n // rows), min(vectors.sparkSession.sparkContext.defaultParallelism, n // SLICE))
     kind = "query_id bigint, id bigint, score double"
     names = ["query_id", "id", "score"]
 
@@ -143,8 +145,10 @@ def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, prepare: Callabl
     return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(*names)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, id, score): the k best by dot product for every row of ``queries`` (query_id, embedding); exact."""
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "dot") -> DataFrame:
+    """(query_id, id, score): the k best of ``top_k`` for every row of ``queries`` (query_id, embedding); exact."""
+    if metric not in ("dot", "l2"):
+        _fail(metric)
 
     def prepare(v: pa.Table):
         m = matrix(v["embedding"].combine_chunks())
@@ -152,7 +156,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         def score(q: np.ndarray) -> np.ndarray:
             if q.shape[1] != m.shape[1]:
                 raise DimensionMismatch(f"vectors must have {q.shape[1]} dimensions")
-            return q @ m.T
+            return q @ m.T if metric == "dot" else 1 / (1 + kernels.sq_dist(q, m))
 
         return v["id"].to_numpy(), score
 
@@ -201,6 +205,18 @@ def checked(vectors: DataFrame, dim: int, max_topics: int | None = None) -> Data
     return vectors
 
 
+def full_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """(entity_id, embedding) of every row of ``ids`` (entity_id) in full precision; null where there is none."""
+    return ids.select("entity_id").join(vectors.join(ids.select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", "embedding"), "entity_id", "left")
+
+
+def search(vectors: DataFrame, query, k: int = 10, **kw) -> DataFrame:
+    """``top_k`` under the serving limit: a larger k than TOP_K is an error."""
+    if k > TOP_K:
+        raise LimitExceeded(f"the {k} best are asked for; the limit is {TOP_K}")
+    return top_k(vectors, query, k, **kw)
+
+
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Mean share of the true k best that were found, over queries (query_id, id)."""
     hits = truth.join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))

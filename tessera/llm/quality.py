@@ -107,3 +107,20 @@ def passing(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MA
                 yield b.filter(pa.array(_judge(b, at, min_words, max_covered, max_repeat)[-1]))
 
     return plain.mapInArrow(run, schema).toDF(*docs.columns)
+
+
+def oracle(k: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> str:
+    """The same rows in DuckDB SQL: repeated words are the union of recurring k-word windows; the longest repeat is the longest run of
+    equal windows at one distance, and k - 1 words more."""
+    from .decontam import _tokens
+
+    return f"""
+WITH d AS ({_tokens("documents", "doc_id")}),
+g AS (SELECT doc_id, p, hash(array_to_string(w[p : p + {k - 1}], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS p FROM d WHERE len(w) >= {k})),
+r AS (SELECT doc_id, p, g FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT q) AS repeated_words FROM (SELECT doc_id, unnest(range(p, p + {k})) AS q FROM r) GROUP BY doc_id),
+e AS (SELECT a.doc_id, b.p - a.p AS far, a.p FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.g = b.g AND a.p < b.p),
+l AS (SELECT doc_id, max(n) + {k - 1} AS longest_repeat FROM (SELECT doc_id, count(*) AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, far ORDER BY p) AS run FROM e) GROUP BY doc_id, far, run) GROUP BY doc_id),
+m AS (SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(repeated_words, 0) AS repeated_words, coalesce(longest_repeat, 0) AS longest_repeat FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT *, round(repeated_words / greatest(n_words, 1), 6) AS covered, n_words > 0 AND round(repeated_words / greatest(n_words, 1), 6) <= {max_covered} AND longest_repeat <= {max_repeat} AS keep FROM m
+"""

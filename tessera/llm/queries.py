@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard_join": ngramjoin.oracle(), "op6_suffix_array_dedup": sadedup.oracle(), "op4_decontamination": decontam.ORACLE, "op5_line_dedup": linededup.ORACLE, "op10_sharding": sharding.oracle()}
+    return {"op9_quality_rules": quality.oracle(), "op7_ngram_jaccard_join": ngramjoin.oracle(), "op6_suffix_array_dedup": sadedup.oracle(), "op4_decontamination": decontam.ORACLE, "op5_line_dedup": linededup.ORACLE, "op10_sharding": sharding.oracle()}

@@ -92,19 +92,25 @@ def facts(spark: SparkSession, sf_dir: str, relations: list[Relation] | None = N
     With a bound position only relations that can match are read, and of a bound entity only the rows of its key: a filter on a
     column of the table, which the scan takes.  Facts that don't match may be left; scans apply the pattern itself.
     """
-    parts = []
+    parts, tables = [], {}  # a table's schema is read once, however many relations it has
     for r in relations or RELATIONS:
         bound = [r.subject.where(s)] if s else []
         if o not in (None, "") and isinstance(r.object, Entity):
             bound.append(r.object.where(render(o)[1]))
         if None in bound or topic not in (None, r.topic) or p and p != r.predicate:
             continue
-        df = table(spark, sf_dir, r.table).where(" and ".join([f"({r.object}) is not null", f"({r.key}) is not null", *bound])).selectExpr(*_columns(r))
-        parts.append(df.distinct() if r.repeats else df)
+        if r.table not in tables:
+            tables[r.table] = table(spark, sf_dir, r.table)
+        df = tables[r.table].where(" and ".join([f"({r.object}) is not null", f"({r.key}) is not null", *bound]))
+        if r.repeats:  # on the few columns that a fact is made of, not on its texts
+            df = df.select(*dict.fromkeys([r.subject.key, r.object.key if isinstance(r.object, Entity) else r.object, r.key])).distinct()
+        parts.append(df.selectExpr(*_columns(r)))
     if not parts:
         r = (relations or RELATIONS)[0]
         return table(spark, sf_dir, r.table).where("false").selectExpr(*_columns(r))
-    return reduce(DataFrame.unionByName, parts)
+    while len(parts) > 1:  # in pairs: every union is analysed anew, so a long chain of them is slow to plan
+        parts = [reduce(DataFrame.union, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def facts_sql(relations: list[Relation] | None = None) -> str:

@@ -459,6 +459,14 @@ def test_store_lifecycle(spark, tmp_path):
     assert s.count() == 0
 
 
+def test_retention_by_sort(spark, monkeypatch):
+    monkeypatch.setattr(maintenance, "FEW", 10)
+    f = facts_df(spark, [(f"s{i:03d}", "p", "o") for i in range(200)]).repartition(5)
+    assert rows(maintenance.retain(f, 50), "subject") == [(f"s{i:03d}",) for i in range(150, 200)]
+    assert rows(maintenance.retain(f, 10), "subject") == [(f"s{i:03d}",) for i in range(190, 200)]
+    assert maintenance.retain(f, 500).count() == 200
+
+
 def test_retention_and_merge(spark, tmp_path):
     s = Store(spark, str(tmp_path / "r"))
     s.add_facts([(f"retain_{i:04d}", "type", "test") for i in range(110)])

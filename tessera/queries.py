@@ -355,10 +355,10 @@ def _(s, d):
     return v.select("entity_id", F.octet_length("c4").alias("bytes_4"), F.octet_length("c8").alias("bytes_8"), (cos("c4", 4) >= 0.99).alias("close_4"), (cos("c8", 8) >= 0.9999).alias("close_8"))
 
 
-@register("vec_full_vectors", "SELECT c_custkey AS entity_id, round(embedding[1], 6) AS first FROM customer LEFT JOIN embeddings ON vec_id = c_custkey")
+@register("vec_full_vectors", "SELECT c_custkey AS entity_id, round(embedding[1]::DOUBLE, 6) AS first FROM customer LEFT JOIN embeddings ON vec_id = c_custkey")
 def _(s, d):
     ids = graph.table(s, d, "customer").select(F.col("c_custkey").alias("entity_id"))
-    return vector.full_vectors(graph.vectors(s, d), ids).select("entity_id", F.round(F.col("embedding")[0], 6).alias("first"))
+    return vector.full_vectors(graph.vectors(s, d), ids).select("entity_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
 # -- hybrid

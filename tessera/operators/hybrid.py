@@ -21,6 +21,8 @@ from .scan import find_subjects, get_content
 from .vector import top_k
 
 MIN_CANDIDATES, TOP = 100, 10
+#: Hits that are broadcast at most: about 10 MB.
+BROADCAST_HITS = 100_000
 
 
 @dataclass(frozen=True)
@@ -96,15 +98,17 @@ class Find:
             return found if self.n is None else ordered(found, self.n)
         # a few rows that are used more than once: the vectors are scored only once for them
         out = cut(self.hits()) if self.patterns or self.content is not None else self.hits()
+        # the limit bounds them, so they go to the facts or texts, not these to them
+        few = F.broadcast if (TOP if self.n is None else self.n) <= BROADCAST_HITS else (lambda df: df)
         if self.patterns:
             found = bgp(self._facts(), self.patterns)
             if self.seed not in found.columns:
                 raise StoreError(f"no pattern has the variable {self.seed}")
             keep = [self.seed, *(v for v in (self.result or found.columns) if v != self.seed)]
-            return out.join(found, out["key"] == found[self.seed]).select("id", "score", *keep)
+            return few(out).join(found, out["key"] == found[self.seed]).select("id", "score", *keep)
         out = out.select("id", "key", "score")
         if self.content is not None:
-            text = get_content(self.content, out.select(F.col("id").alias("entity_id")))
+            text = get_content(self.content, few(out.select(F.col("id").alias("entity_id"))))
             out = out.join(text.select(F.col("entity_id").alias("id"), F.decode("data", "UTF-8").alias("content")), "id", "left").select("id", "key", "score", "content")
         return out
 

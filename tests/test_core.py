@@ -418,6 +418,17 @@ def test_rare_filter_finds_all(spark):
         hybrid.Find(f, vec_df(spark, x)).run()
 
 
+def test_hits_go_to_the_texts(spark, sf):
+    """The texts of all documents aren't shuffled for those of a few hits."""
+    from tessera.sources import graph
+
+    q = hybrid.Find(graph.facts(spark, sf), graph.vectors(spark, sf), graph.content(spark, sf)).similar_to(unit(1, 64)[0]).run()
+    assert len(q.collect()) == 10  # some vectors have no text
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    semi = plan.split("LeftSemi")[0].splitlines()[-1]
+    assert "BroadcastHashJoin" in semi, plan
+
+
 def test_graph_only_returns_all_bindings(spark):
     find = hybrid.Find(facts_df(spark, [(f"nation:{i}", "in_region", "region:1") for i in range(150)]), vec_df(spark, unit(3, 4))).join([("?n", "in_region", "region:1")], "n")
     assert find.run().count() == 150 and find.limit(7).run().count() == 7

@@ -68,15 +68,16 @@ def _match(facts: DataFrame, pat: Pattern, distinct: bool) -> DataFrame:
     return df.distinct() if distinct and None in (pat.s, pat.p, pat.o) else df
 
 
-def order_patterns(patterns: list[Pattern], rows: Mapping[str, int] | None = None) -> list[Pattern]:
-    """Greedy order: smallest first, then the smallest that shares a variable.  ``rows`` has predicates' fact counts."""
+def order_patterns(patterns: list[Pattern], rows: Mapping[str, int] | None = None, seed: str | None = None) -> list[Pattern]:
+    """Greedy order: smallest first, of those that have ``seed`` if any has, then the smallest that shares a variable.  ``rows`` has
+    predicates' fact counts."""
 
     def cost(p: Pattern) -> tuple:
         n = (rows or {}).get(p.p, 1 << 40) if p.p is not None and not is_var(p.p) else 1 << 50
         free = 3 - p.bound
         return (0 if p.s is not None and not is_var(p.s) else 1, n >> 8 * (p.bound > 1), free)
 
-    left, out, known = list(patterns), [], set()
+    left, out, known = list(patterns), [], {seed} if seed else set()
     while left:
         linked = [p for p in left if known & set(p.vars)] or left
         best = min(linked, key=cost)
@@ -93,13 +94,14 @@ def predicate_stats(facts: DataFrame) -> DataFrame:
 
 def bgp(
     facts: DataFrame, patterns: Iterable[Pattern | tuple], result: list[str] | None = None, topic: int | None = None, distinct: bool = True,
-    rows: Mapping[str, int] | None = None, cross_topic: bool = False, allow_cross: bool = False,
+    rows: Mapping[str, int] | None = None, cross_topic: bool = False, allow_cross: bool = False, seeds: DataFrame | None = None,
 ) -> DataFrame:
     """Bindings of ``result`` variables (default: all, sorted by name) that satisfy every pattern.
 
     All patterns constrain, whether or not their variables are in the result.  Bindings are a set unless ``distinct`` is False: then
     each is as often there as facts make it.
-    Patterns without a shared variable need ``allow_cross``.  ``cross_topic`` joins entities of different topics.
+    Patterns without a shared variable need ``allow_cross``.  ``cross_topic`` joins entities of different topics.  ``seeds`` (one column, named
+    like a variable, without repeats) are the only bindings that it may have; the join begins with a pattern that has it.
     """
     pats = [p if isinstance(p, Pattern) else Pattern(*p) for p in patterns]
     if not pats:
@@ -108,8 +110,11 @@ def bgp(
         facts = facts.where(F.col("topic_id") == topic)
     out: DataFrame | None = None
     known: set[str] = set()
-    for p in order_patterns(pats, rows):
+    seed = seeds.columns[0] if seeds is not None else None
+    for p in order_patterns(pats, rows, seed):
         m = _match(facts, p, distinct)
+        if seed in p.vars and seed not in known:
+            m = m.join(seeds, seed, "left_semi")
         if cross_topic:
             m = m.drop(_TOPIC)
         if out is None:
@@ -147,8 +152,11 @@ def ordered(bindings: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def seeded(facts: DataFrame, patterns: Iterable, seeds: DataFrame, seed_var: str, **kw: Any) -> DataFrame:
-    """Bindings for each row of ``seeds`` (its column named like the variable), all seeds in one join; repeated seeds repeat."""
-    found = bgp(facts, patterns, **kw)
+    """Bindings for each row of ``seeds`` (its column named like the variable), all seeds in one join; repeated seeds repeat.
+
+    The first pattern that has the variable keeps only the seeds' bindings, so that no other is joined further.
+    """
+    found = bgp(facts, patterns, seeds=seeds.select(seed_var).distinct(), **kw)
     return seeds.join(found, seed_var)
 
 

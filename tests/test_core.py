@@ -321,6 +321,14 @@ def test_serving_limits(spark):
         run_query(f, [("?s", "p", "?o")], most=19)
 
 
+def test_seeds_come_first(spark):
+    f = facts_df(spark, [(f"a{i}", "p", f"b{i % 5}") for i in range(30)] + [(f"b{i}", "q", f"c{i}") for i in range(5)])
+    pats = [Pattern("?b", "q", "?c"), Pattern("?a", "p", "?b")]
+    assert order_patterns(pats, seed="a") == pats[::-1] and order_patterns(pats, seed="zz") == order_patterns(pats)
+    seeds = spark.createDataFrame([("a3",), ("a3",), ("a7",), ("none",)], "a string")
+    assert rows(seeded(f, pats, seeds, "a"), "a", "b", "c") == [("a3", "b3", "c3"), ("a3", "b3", "c3"), ("a7", "b2", "c2")]
+
+
 def test_bag_semantics(spark):
     f = facts_df(spark, [("a", "p", "1"), ("a", "q", "1"), ("a", "p", "2"), ("b", "p", "1")])
     assert bgp(f, [Pattern("?s", None, "?o")], distinct=False).count() == 4

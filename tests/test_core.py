@@ -622,3 +622,22 @@ def test_streaming(spark, sf, tmp_path):
         q.awaitTermination(120)
         assert spark.sql(f"select sum(n) n from {name}").first()["n"] == e.count()
     assert not math.isnan(s.count())
+
+
+def _optimized(df):
+    return str(df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_pairs_of_a_shared_object_are_each_there_once(spark):
+    """Of a product only pairs of subjects that both have several objects are made distinct."""
+    one = [(f"a{i}", "p", f"x{i % 2}") for i in range(6)] + [(f"b{i}", "q", f"x{i % 2}") for i in range(4)]
+    f = facts_df(spark, [*one, ("a0", "p", "x1"), ("a1", "p", "x0"), ("b0", "q", "x1"), ("b1", "q", "x0"), ("a9", "p", "none"), ("a8", "p", Int32(1)), ("b8", "q", "1")])
+    pats = [("?a", "p", "?o"), ("?b", "q", "?o")]
+    of = {s: {o for t, _, o in [*one, ("a0", "p", "x1"), ("a1", "p", "x0"), ("b0", "q", "x1"), ("b1", "q", "x0")] if t == s} for s in {t[0] for t in one}}
+    want = sorted((b, a) for a in of for b in of if a[0] == "a" and b[0] == "b" and of[a] & of[b])
+    assert [tuple(r) for r in sorted(bgp(f, pats, ["b", "a"]).collect())] == want
+    assert rows(bgp(f, pats, ["b", "a"], cross_topic=True), "b", "a") == want
+    assert not _optimized(bgp(f, pats, ["a", "b"])).startswith("Aggregate")  # it did for the whole product
+    both = f.unionByName(f.withColumn("topic_id", F.lit(2)))
+    assert rows(bgp(both, pats, ["b", "a"]), "b", "a") == want
+    assert rows(bgp(f.unionByName(f), pats, ["b", "a"]), "b", "a") == want

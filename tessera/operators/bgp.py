@@ -2,12 +2,13 @@
 
 Each pattern is a filtered projection of the facts; patterns are joined on the variables they share and, topics being part of
 identity, on the topic.  Joins are left to Catalyst and AQE (broadcast, hash or sort-merge by size); what the library decides is
-the order of patterns, so that every join has a shared variable and selective patterns come first.
+the order of patterns, so that every join has a shared variable and selective patterns come first, and which variables are dropped
+early: one that is neither asked for nor needed further is projected out before the joins that would repeat it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -77,10 +78,14 @@ def order_patterns(patterns: list[Pattern], rows: Mapping[str, int] | None = Non
         free = 3 - p.bound
         return (0 if p.s is not None and not is_var(p.s) else 1, n >> 8 * (p.bound > 1), free)
 
-    left, out, known = list(patterns), [], {seed} if seed else set()
+    return _greedy(patterns, lambda p, known: cost(p), seed)
+
+
+def _greedy(items: Iterable, cost: Callable[[Any, set[str]], Any], seed: str | None = None) -> list:
+    left, out, known = list(items), [], {seed} if seed else set()
     while left:
         linked = [p for p in left if known & set(p.vars)] or left
-        best = min(linked, key=cost)
+        best = min(linked, key=lambda p: cost(p, known))
         out.append(best)
         left.remove(best)
         known |= set(best.vars)
@@ -89,11 +94,12 @@ def order_patterns(patterns: list[Pattern], rows: Mapping[str, int] | None = Non
 
 @dataclass(frozen=True)
 class _Relation:
-    """Bindings of one pattern."""
+    """Bindings of one pattern, or of several whose shared variable was projected out."""
 
     vars: list[str]
     df: DataFrame
     size: int
+    derived: bool = False
 
 
 def _size(df: DataFrame) -> int:
@@ -111,6 +117,50 @@ def _on(keys: Iterable[str], cross_topic: bool) -> list[str]:
     return [*([] if cross_topic else [_TOPIC]), *[c for v in keys for c in (v, _kind(v))]]
 
 
+def _project(rels: list[_Relation], keep: set[str], cross_topic: bool) -> list[_Relation]:
+    """``rels`` without the variables that only they have and nobody asks for, but for the last of these.
+
+    A variable is dropped by joining all relations that have it and making the rest distinct, cheapest join first; so a chain is
+    joined from its small end, and what is kept of it is as large as its bindings, not as its paths.  The last variable is left to
+    the joins in order, where relations without a new variable are filters.
+    """
+    while True:
+        costs = {}
+        for v in dict.fromkeys(v for r in rels for v in r.vars if v not in keep):
+            having = [r for r in rels if v in r.vars]
+            if {x for r in having for x in r.vars} != {v}:
+                costs[v] = (len(having) > 1, sum(r.size for r in having), -len(costs))
+        if not costs or len(costs) == 1 and min(costs.values())[0]:
+            return rels
+        v = min(costs, key=costs.get)
+        having = sorted((r for r in rels if v in r.vars), key=lambda r: r.size)
+        df, names = having[0].df, list(having[0].vars)
+        for r in having[1:]:
+            df = df.join(r.df, _on([x for x in r.vars if x in names], cross_topic))
+            names += [x for x in r.vars if x not in names]
+        names.remove(v)
+        new = _Relation(names, df.select(*_on(names, cross_topic)).distinct(), max(r.size for r in having), True)
+        rels = [r for r in rels if v not in r.vars] + [new]
+
+
+def _joined(rels: list[_Relation], keep: set[str], cross_topic: bool, allow_cross: bool) -> tuple[DataFrame, set[str]]:
+    """The relations joined: filters as soon as they can be, else patterns before what was derived of several, small ones first."""
+    out: DataFrame | None = None
+    known: set[str] = set()
+    for r in _greedy(_project(rels, keep, cross_topic), lambda r, known: (not set(r.vars) <= known, r.derived, r.size)):
+        keys = [v for v in r.vars if v in known]
+        if out is None:
+            out = r.df
+        elif not keys and not allow_cross:
+            raise StoreError(f"nothing is shared by the variables {sorted(known)} and {r.vars}")
+        elif on := _on(keys, cross_topic):
+            out = out.join(r.df, on, "inner" if len(keys) < len(r.vars) else "left_semi")
+        else:
+            out = out.crossJoin(r.df)  # asked for by ``allow_cross``
+        known |= set(r.vars)
+    return out, known
+
+
 def _share_object(pats: list[Pattern], names: list[str] | None) -> bool:
     """Whether two patterns ask for the pairs of subjects that have an object in common."""
     if len(pats) != 2 or not all(is_var(p.s) and is_var(p.o) and p.p is not None and not is_var(p.p) for p in pats):
@@ -170,7 +220,10 @@ def bgp(
     out: DataFrame | None = None
     known: set[str] = set()
     seed = seeds.columns[0] if seeds is not None else None
-    for p in order_patterns(pats, rows, seed):
+    early = distinct and seeds is None and result is not None and len(pats) > 2
+    if early:
+        out, known = _joined([_relation(facts, p, rows, cross_topic) for p in pats], set(result), cross_topic, allow_cross)
+    for p in [] if early else order_patterns(pats, rows, seed):
         m = _match(facts, p, distinct)
         if seed in p.vars and seed not in known:
             m = m.join(seeds, seed, "left_semi")

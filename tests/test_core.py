@@ -641,3 +641,18 @@ def test_pairs_of_a_shared_object_are_each_there_once(spark):
     both = f.unionByName(f.withColumn("topic_id", F.lit(2)))
     assert rows(bgp(both, pats, ["b", "a"]), "b", "a") == want
     assert rows(bgp(f.unionByName(f), pats, ["b", "a"]), "b", "a") == want
+
+
+CHAIN = [("?o", "a", "?p"), ("?p", "b", "?s"), ("?s", "c", "?n"), ("?n", "d", "?r")]
+TRIANGLE = [("?o", "a", "?c"), ("?o", "b", "?p"), ("?p", "c", "?s"), ("?s", "d", "?n"), ("?c", "d", "?n")]
+
+
+@pytest.mark.parametrize("pats, names, aggregates", [(TRIANGLE, ["c", "o", "n"], 2), (CHAIN, ["o", "r"], 3), ([*CHAIN, ("?o", "b", "?z")], ["r"], 3), (CHAIN, ["s"], 2)])
+def test_variables_are_dropped_before_paths_multiply(spark, pats, names, aggregates):
+    rng = np.random.default_rng(5)
+    f = facts_df(spark, sorted({(f"e{rng.integers(7)}", "abcd"[rng.integers(4)], f"e{rng.integers(7)}") for _ in range(60)}))
+    f = f.withColumn("topic_id", F.when(F.col("o_text") == "e6", 2).otherwise(F.col("topic_id")))
+    for cross in (False, True):
+        bag = bgp(f, pats, names, distinct=False, cross_topic=cross)  # joined in order, nothing dropped
+        assert rows(bgp(f, pats, names, cross_topic=cross), *names) == rows(bag.distinct(), *names)
+    assert _optimized(bgp(f, pats, names)).count("Aggregate [") >= aggregates  # one, at the end, before

@@ -656,3 +656,42 @@ def test_variables_are_dropped_before_paths_multiply(spark, pats, names, aggrega
         bag = bgp(f, pats, names, distinct=False, cross_topic=cross)  # joined in order, nothing dropped
         assert rows(bgp(f, pats, names, cross_topic=cross), *names) == rows(bag.distinct(), *names)
     assert _optimized(bgp(f, pats, names)).count("Aggregate [") >= aggregates  # one, at the end, before
+
+
+@pytest.mark.parametrize("search", ["dot", "l2", "quantized", "ivf"])
+def test_batched_scores_exist_a_tile_at_a_time(spark, monkeypatch, search):
+    """Of a block's scores no more than a tile is made at once, and the best are those of the whole block."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, k = 700, 5
+    m = np.round(rng.normal(size=(n, 32)), 1)
+    m[300:400] = m[:100]  # ties across tiles
+    held = {}
+    monkeypatch.setattr(vector, "block_top_k", lambda vectors, queries, k, prepare: held.update(prepare=prepare))
+    monkeypatch.setattr(ivf, "block_top_k", vector.block_top_k)
+    v = spark.createDataFrame([(0, [0.0])], "entity_id long, embedding array<float>")
+    table = {"id": pa.array(np.arange(n)), "embedding": pa.array(list(m)), "codes": pa.array(kernels.quantize(m))}
+    if search == "quantized":
+        vector.top_k_quantized_batch(vector.quantized(v), v, k)
+    elif search == "ivf":
+        c = kernels.kmeans(m, 9)
+        near = kernels.nearest(m, c)
+        book = kernels.train_pq(m - c[near], 8, 16)
+        ivf.search_batch(ivf.Index(c, book, v.selectExpr("entity_id as id", "1 as centroid", "embedding as codes")), v, k, probes=3)
+        table |= {"centroid": pa.array(near), "codes": pa.array([r.tobytes() for r in kernels.encode_pq(m - c[near], book)])}
+    else:
+        vector.top_k_batch(v, v, k, search)
+    ids, score = held["prepare"](pa.table(table))
+    whole = vector._best_rows(ids, score(m[:50])(0, n), k)
+    monkeypatch.setattr(vector, "TILE", 64)
+    widths = []
+
+    def some(a, b):
+        s = score(m[:50])(a, b)
+        widths.append(s.shape[1])
+        return s
+
+    best = vector._tiled(ids, some, k)
+    assert max(widths) == 64 and sum(widths) == n
+    assert best[0].tolist() == whole[0].tolist() and best[1].tolist() == whole[1].tolist() and np.allclose(best[2], whole[2])

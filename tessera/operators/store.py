@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterable
 from typing import Any
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,6 +121,8 @@ class Store:
         """The log's appends and deletes in order; consecutive appends are one scan."""
         out = self.spark.createDataFrame([], TABLES[name])
         paths: list[str] = []
+        last = [e for e in log if e["table"] == name][-1:]
+        last = last[0] if last and name == "facts" else None
 
         def flush(df: DataFrame) -> DataFrame:
             return df.unionByName(self.spark.read.schema(df.schema).parquet(*paths)) if paths else df
@@ -135,14 +137,25 @@ class Store:
             if e["op"] == "add":  # partitioned: a scan of its own, which a bound topic or predicate prunes
                 out = out.unionByName(self.spark.read.schema(out.schema).parquet(f"{self.path}/{e['file']}"))
             else:
+                if e is last:  # dealt out by the keys of the delete, which serve what follows as well
+                    out = out.repartition(*e["keys"])
                 out = out.join(self.spark.read.parquet(f"{self.path}/{e['file']}"), e["keys"], "left_anti")
         return flush(out)
 
     def _facts(self, log) -> DataFrame:
+        log = [e for e in log if e["table"] == "facts"]
         df = self._table("facts", log)
+        if [e.get("set") for e in log if e["op"] == "add"] == [True]:  # compacted, nothing added since
+            return df.select(*[f.name for f in FACTS.fields])
+        # dealt out first: the aggregate has rows as its buffers and would sort before a shuffle, then again
+        return self._last(df if log and log[-1]["op"] == "delete" else df.repartition(*FACT_KEY))
+
+    @staticmethod
+    def _last(df: DataFrame, key: list[str] | tuple[str, ...] = FACT_KEY) -> DataFrame:
+        """Of equal facts the last written."""
         rest = [f.name for f in FACTS.fields if f.name not in FACT_KEY]
         last = F.max_by(F.struct(*rest), F.struct("ingest_seq", "order_"))
-        return df.groupBy(*FACT_KEY).agg(last.alias("x")).select(*FACT_KEY, "x.*").select(*[f.name for f in FACTS.fields])
+        return df.groupBy(*key).agg(last.alias("x")).select(*FACT_KEY, "x.*").select(*[f.name for f in FACTS.fields])
 
     def facts(self) -> DataFrame:
         """The facts, a set: of equal ones the last written."""
@@ -221,12 +234,18 @@ class Store:
         if self.read_only:
             raise ReadOnly("the store is read-only")
         before = self.manifest["log"]
-        facts = self.facts()
-        facts = maintenance.drop_deprecated(facts) if drop_deprecated else facts
-        facts = maintenance.retain(facts, self.manifest["retention"]).withColumn("order_", F.lit(0).cast("bigint"))
-        # by range, so that a predicate of a third of all facts is cut over many tasks and files
         order = ["topic_id", "predicate", "subject"]
-        facts = (facts.repartitionByRange(*order) if files is None else facts.repartitionByRange(files, *order)).sortWithinPartitions(*order)
+
+        def ranged(df: DataFrame) -> DataFrame:
+            # by range, so that a predicate of a third of all facts is cut over many tasks and files
+            return df.repartitionByRange(*order) if files is None else df.repartitionByRange(files, *order)
+
+        # before equal facts are looked for, as the sample that the ranges come from takes all that is below; ranges keep equal facts together
+        facts = self._last(ranged(self._table("facts", before)), [*order, *[c for c in FACT_KEY if c not in order]])
+        facts = maintenance.drop_deprecated(facts) if drop_deprecated else facts
+        if self.manifest["retention"]:
+            facts = ranged(maintenance.retain(facts, self.manifest["retention"]))
+        facts = facts.withColumn("order_", F.lit(0).cast("bigint")).sortWithinPartitions(*order)
         log = []
         for name, df in (("facts", facts), ("vectors", self.vectors().withColumn("seq_", F.lit(-1).cast("bigint"))), ("content", self.content())):
             file = f"{name}-{uuid4().hex}"
@@ -234,7 +253,7 @@ class Store:
                 df.write.partitionBy("topic_id", "predicate").parquet(f"{self.path}/{file}")
             else:
                 (df if files is None else df.coalesce(files)).write.parquet(f"{self.path}/{file}")
-            log.append({"table": name, "op": "add", "file": file, **({"parts": True} if name == "facts" else {})})
+            log.append({"table": name, "op": "add", "file": file, **({"parts": True, "set": True} if name == "facts" else {})})
         self._save({**self.manifest, "version": self.manifest["version"] + 1, "log": log})
         self._sweep(log, before)  # those who opened the version before may still read it
 
@@ -316,12 +335,15 @@ class Transaction:
 
     def _add(self, df: DataFrame, seq, n: int, known: DataFrame | None) -> int | None:
         bad = (F.col("subject") == "") | (F.col("predicate") == "") | F.col("subject").isNull() | F.col("predicate").isNull() | F.col("o_text").isNull()
-        if not df.where(bad).limit(1).isEmpty():
-            raise InvalidFact("subject and predicate must be non-empty, the object non-null")
         new = None if known is None else df.select(*FACT_KEY).distinct().join(known.select(*FACT_KEY), FACT_KEY, "left_anti").count()
         lost = [F.lit(None).cast(f.dataType).alias(f.name) for f in FACTS.fields if f.name not in df.columns]
         df = df.select("*", *lost).withColumn("order_", F.coalesce("ingest_seq", F.lit(0)).cast("bigint")).withColumn("ingest_seq", seq)
-        self._write("facts", "add", df.select(*[f.name for f in FACTS.fields], "order_"))
+        seen, log = Observation(), self.log  # as it's written, so that the table is computed once
+        self._write("facts", "add", df.observe(seen, F.count_if(bad).alias("bad")).select(*[f.name for f in FACTS.fields], "order_"))
+        if seen.get["bad"]:
+            self.store._fs.delete(self.store._p(self.files.pop()), True)
+            self.log = log
+            raise InvalidFact("subject and predicate must be non-empty, the object non-null")
         self.seq += n
         return new
 

@@ -695,3 +695,38 @@ def test_batched_scores_exist_a_tile_at_a_time(spark, monkeypatch, search):
     best = vector._tiled(ids, some, k)
     assert max(widths) == 64 and sum(widths) == n
     assert best[0].tolist() == whole[0].tolist() and best[1].tolist() == whole[1].tolist() and np.allclose(best[2], whole[2])
+
+
+def _scans(spark, fn):
+    """Rows that a counting UDF saw while ``fn`` ran."""
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        n.add(1)
+        return x
+
+    fn(seen)
+    return n.value
+
+
+def test_store_computes_a_table_once(spark, tmp_path):
+    f = facts_df(spark, [(f"s{i}", "p", str(i)) for i in range(40)])
+    st = Store(spark, f"file://{tmp_path}/a")
+    assert _scans(spark, lambda udf: st.update(lambda tx: tx.add_frame(f.withColumn("subject", udf.asNondeterministic()("subject")), count=False))) == 40
+    with st.transaction() as tx:
+        tx.add_frame(facts_df(spark, [("new", "p", "1")]), count=False)
+        with pytest.raises(InvalidFact):
+            tx.add_frame(f.withColumn("predicate", F.when(F.col("subject") == "s3", "").otherwise(F.col("predicate"))), count=False)
+    assert st.count() == 41 and len([e for e in st.manifest["log"] if e["op"] == "add"]) == 2  # what was refused is not there
+    st.add_facts([("s1", "p", "1")])
+    st.delete_subjects(["s2"])
+    st.compact()
+    assert st.count() == 40 and "Aggregate" not in _optimized(st.facts())  # a set as it is
+    st.delete_subjects(["s4"])
+    assert st.count() == 39 and "Aggregate" not in _optimized(st.facts())
+    st.add_facts([("s5", "p", "5"), ("s4", "p", "4")])
+    assert st.count() == 40 and "Aggregate" in _optimized(st.facts())
+    st.set_retention(7)
+    st.compact()
+    assert st.count() == 7

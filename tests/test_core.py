@@ -730,3 +730,13 @@ def test_store_computes_a_table_once(spark, tmp_path):
     st.set_retention(7)
     st.compact()
     assert st.count() == 7
+
+
+def test_subjects_are_distinct_numbers(spark, sf):
+    from tessera.sources import graph
+
+    s = graph.subjects(spark, sf)
+    assert rows(s, "topic_id", "subject") == rows(scan.subjects(graph.facts(spark, sf)), "topic_id", "subject")
+    assert s.schema.names == ["topic_id", "subject"]
+    grouped = [x for x in _optimized(core.QUERIES["subjects"](spark, sf)).splitlines() if "Aggregate [" in x]
+    assert grouped and not any("subject#" in x.split("], [")[0] for x in grouped)  # texts were

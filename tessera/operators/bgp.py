@@ -21,6 +21,8 @@ from ..plans.guard import JOIN_RESULTS
 from .scan import object_is
 
 _TOPIC = "__topic"
+#: Bytes (as Catalyst estimates them from files) of the bindings that one task joins with what was derived of other patterns.
+TASK_BYTES, MOST_TASKS = 4 << 20, 20_000
 
 
 def is_var(term: Any) -> bool:
@@ -154,6 +156,10 @@ def _joined(rels: list[_Relation], keep: set[str], cross_topic: bool, allow_cros
         elif not keys and not allow_cross:
             raise StoreError(f"nothing is shared by the variables {sorted(known)} and {r.vars}")
         elif on := _on(keys, cross_topic):
+            # what was derived may repeat a row many times: tasks are as many as the rows need before that
+            if r.derived and (n := -(-_size(out) // TASK_BYTES)) > out.sparkSession.sparkContext.defaultParallelism and n < MOST_TASKS:
+                # fewer than Spark's own number would be dealt out again
+                out = out.repartition(max(n, int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
             out = out.join(r.df, on, "inner" if len(keys) < len(r.vars) else "left_semi")
         else:
             out = out.crossJoin(r.df)  # asked for by ``allow_cross``

@@ -740,3 +740,17 @@ def test_subjects_are_distinct_numbers(spark, sf):
     assert s.schema.names == ["topic_id", "subject"]
     grouped = [x for x in _optimized(core.QUERIES["subjects"](spark, sf)).splitlines() if "Aggregate [" in x]
     assert grouped and not any("subject#" in x.split("], [")[0] for x in grouped)  # texts were
+
+
+@pytest.mark.parametrize("name", ["bgp_chain5", "bgp_triangle"])
+def test_joins_take_repeated_facts(spark, sf, name, monkeypatch):
+    """Bindings are made distinct, so rows that yield a fact again aren't before; the last join has tasks by the size of its rows."""
+    from tessera.operators import bgp as bgp_module
+
+    assert not any(x.split("[")[1].startswith(("l_orderkey", "l_partkey")) for x in _optimized(core.QUERIES[name](spark, sf)).splitlines() if "Aggregate [" in x)
+    pats = [("?o", "a", "?p"), ("?p", "b", "?s"), ("?s", "c", "?n")]
+    f = facts_df(spark, [("o1", "a", "p1"), ("o1", "a", "p2"), ("p1", "b", "s1"), ("p2", "b", "s2"), ("s1", "c", "n1"), ("s2", "c", "n1")])
+    monkeypatch.setattr(bgp_module, "TASK_BYTES", 10)
+    monkeypatch.setattr(bgp_module, "_size", lambda df: 2000)
+    found = bgp(f.unionByName(f), pats, ["o", "n"])
+    assert rows(found, "o", "n") == [("o1", "n1")] and ", 200" in _optimized(found)

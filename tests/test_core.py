@@ -754,3 +754,31 @@ def test_joins_take_repeated_facts(spark, sf, name, monkeypatch):
     monkeypatch.setattr(bgp_module, "_size", lambda df: 2000)
     found = bgp(f.unionByName(f), pats, ["o", "n"])
     assert rows(found, "o", "n") == [("o1", "n1")] and ", 200" in _optimized(found)
+
+
+def test_terms_are_distinct_numbers(spark, tmp_path, sf):
+    """Terms of the tables equal those of their facts; a text that reads like an entity is that entity, and no text of an entity is grouped."""
+    import os
+
+    from tessera.sources import graph
+
+    for t in os.listdir(sf):
+        if t not in ("nation.parquet", "documents.parquet"):
+            os.symlink(f"{sf}/{t}", tmp_path / t)
+    odd = ["customer:3", "customer:03", "doc:5", "order:-0", "in_region", "part:99999999999999999999", "customer:-7", "", "region:1"]
+    spark.read.parquet(f"{sf}/nation.parquet").coalesce(1).withColumn("n_name", F.array(*map(F.lit, odd))[F.col("n_nationkey").cast("int") % len(odd)]).write.parquet(f"{tmp_path}/nation.parquet")
+    texts = F.when(F.col("doc_id") % 3 == 0, "customer:4").when(F.col("doc_id") % 3 == 1, "segment")
+    spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", texts).write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    f = graph.facts(spark, d)
+    want = scan.build_dictionary(f.where("o_kind <> 'f64'"))
+    assert rows(core.QUERIES["dictionary"](spark, d), "id", "term") == rows(want, "id", "term")
+    f = f.withColumn("o_text", F.expr("case when o_kind <> 'f64' then o_text end"))
+    all_terms = f.select(F.explode(F.array("subject", "predicate", "o_text")).alias("term")).where("term is not null").distinct()
+    orphans = maintenance.orphan_terms(all_terms.withColumn("id", F.lit(0)), f.where("topic_id <> 1"), limit=None)
+    got = rows(core.QUERIES["orphan_terms"](spark, d), "term")
+    assert got == rows(orphans, "term") and ("customer:4",) not in got and ("customer:3",) in got
+    for name in ("dictionary",):
+        assert "o_text#" not in _optimized(core.QUERIES[name](spark, sf))
+    plan = _optimized(graph.terms(spark, sf, ("str",)))
+    assert "Aggregate [key#" in plan and "Aggregate [term#" not in plan  # texts were grouped

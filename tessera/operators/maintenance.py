@@ -45,6 +45,11 @@ def orphan_terms(dictionary: DataFrame, facts: DataFrame, limit: int | None = CY
     return out if limit is None else out.orderBy("id").limit(limit)
 
 
+def only_of_topic(terms: DataFrame, topic: int) -> DataFrame:
+    """Of terms with their least and largest topic, those that would be orphans without ``topic``."""
+    return terms.where((F.col("first_topic") == topic) & (F.col("last_topic") == topic))
+
+
 def orphan_vectors(vectors: DataFrame, content: DataFrame, facts: DataFrame, prefix: str = "doc:", limit: int | None = CYCLE) -> DataFrame:
     """Ids of vectors with neither content nor a fact."""
     key = F.concat(F.lit(prefix), F.col("entity_id").cast("string"))

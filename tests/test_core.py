@@ -778,7 +778,7 @@ def test_terms_are_distinct_numbers(spark, tmp_path, sf):
     orphans = maintenance.orphan_terms(all_terms.withColumn("id", F.lit(0)), f.where("topic_id <> 1"), limit=None)
     got = rows(core.QUERIES["orphan_terms"](spark, d), "term")
     assert got == rows(orphans, "term") and ("customer:4",) not in got and ("customer:3",) in got
-    for name in ("dictionary",):
+    for name in ("dictionary", "orphan_terms"):
         assert "o_text#" not in _optimized(core.QUERIES[name](spark, sf))
     plan = _optimized(graph.terms(spark, sf, ("str",)))
     assert "Aggregate [key#" in plan and "Aggregate [term#" not in plan  # texts were grouped

@@ -782,3 +782,25 @@ def test_terms_are_distinct_numbers(spark, tmp_path, sf):
         assert "o_text#" not in _optimized(core.QUERIES[name](spark, sf))
     plan = _optimized(graph.terms(spark, sf, ("str",)))
     assert "Aggregate [key#" in plan and "Aggregate [term#" not in plan  # texts were grouped
+
+
+def test_merge_compares_numbers(spark, tmp_path, sf):
+    """Keys of merged tables equal those of merged facts, repeated rows too, and no text of an entity is grouped or joined."""
+    import os
+
+    from tessera.model import FACT_KEY
+    from tessera.sources import graph
+
+    for t in os.listdir(sf):
+        if t != "customer.parquet":
+            os.symlink(f"{sf}/{t}", tmp_path / t)
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    c.union(c.limit(9)).union(c.limit(2).withColumn("c_mktsegment", F.lit("x"))).union(c.limit(3).withColumn("c_nationkey", F.lit(None).cast(c.schema["c_nationkey"].dataType))).write.parquet(f"{tmp_path}/customer.parquet")
+    f = graph.facts(spark, str(tmp_path))
+    got = core.QUERIES["merge_distinct"](spark, str(tmp_path))
+    assert got.columns == FACT_KEY if isinstance(FACT_KEY, list) else tuple(got.columns) == tuple(FACT_KEY)
+    assert rows(got, *FACT_KEY) == rows(maintenance.merge(f.where("topic_id <> 2"), f).distinct(), *FACT_KEY)
+    customers = [r for r in graph.RELATIONS if r.table == "customer"]
+    assert rows(graph.merge_keys(spark, str(tmp_path), customers[:1], customers[1:]), *FACT_KEY) == rows(graph.facts(spark, str(tmp_path), customers).distinct(), *FACT_KEY)
+    plan = _optimized(got)
+    assert "Join" not in plan and "Aggregate [subject#" not in plan and "Aggregate [s#" in plan

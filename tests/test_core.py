@@ -697,6 +697,69 @@ def test_batched_scores_exist_a_tile_at_a_time(spark, monkeypatch, search):
     assert best[0].tolist() == whole[0].tolist() and best[1].tolist() == whole[1].tolist() and np.allclose(best[2], whole[2])
 
 
+@pytest.mark.parametrize("search", ["dot", "l2", "ivf", "rerank"])
+def test_memory_of_a_pair_of_blocks(spark, monkeypatch, search):
+    """Of two blocks neither the vectors nor the scores are held at once, whatever their size; the best are those of the whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n, k = 30_000, 100 if search == "rerank" else 10
+    m = np.round(rng.normal(size=(n, 64)), 1)
+    m[20_000:] = m[:10_000]  # ties across tiles
+    v = spark.createDataFrame([(0, 0, [0.0])], "entity_id long, query_id long, embedding array<float>")
+    held = {}
+    monkeypatch.setattr(vector, "block_top_k", lambda vectors, queries, k, prepare: held.update(prepare=prepare) or v.selectExpr("query_id", "entity_id as id"))
+    monkeypatch.setattr(ivf, "block_top_k", vector.block_top_k)
+    if search in ("dot", "l2"):
+        vector.top_k_batch(v, v, k, search)
+        table = pa.table({"id": np.arange(n), "embedding": pa.array(list(m.astype(np.float32)))})
+    else:
+        c = kernels.kmeans(m[:2000], 16, 3)
+        near = kernels.nearest(m, c)
+        book = np.stack([kernels.kmeans(x, 16, 3) for x in (m[:2000] - c[near[:2000]]).reshape(2000, 16, 4).swapaxes(0, 1)])
+        ivf.search_batch(ivf.Index(c, book, v.selectExpr("entity_id as id", "1 as centroid", "embedding as codes")), v, k, probes=13, rerank=v if search == "rerank" else None)
+        table = pa.table({"id": np.arange(n), "centroid": near, "codes": pa.array([r.tobytes() for r in kernels.encode_pq(m - c[near], book)])})
+    q = m[:: n // vector.SLICE][: vector.SLICE]
+    tracemalloc.start()
+    ids, score = held["prepare"](table)
+    got = vector._tiled(ids, score(q), k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # the decoded vectors alone take 15, a tile of the old size and what is made of it 50 more
+    whole = vector._best_rows(ids, score(q[:40])(0, n), k)
+    assert [x[got[0] < 40].tolist() for x in got[:2]] == [x.tolist() for x in whole[:2]]
+    assert np.allclose(got[2][got[0] < 40], whole[2])
+
+
+def test_results_bound_a_block_of_queries(spark, monkeypatch):
+    """The more candidates a query has, the fewer queries are a block; all are answered."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "entity_id long, embedding array<float>")
+    q = v.selectExpr("entity_id as query_id", "embedding")
+    monkeypatch.setattr(vector, "RESULT_BYTES", 24 * 20 * 50)
+    out = vector.top_k_batch(v, q, 20)
+    assert "sequence(0, 5," in out._jdf.queryExecution().analyzed().toString()  # each vector goes to six blocks of queries
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    s = x.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float).T
+    assert got == {i: set(np.argsort(-s[i], kind="stable")[:20].tolist()) for i in range(300)}
+
+
+def test_nearest_makes_some_distances_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(size=(1000, 8)), rng.normal(size=(32, 8))
+    want = kernels.sq_dist(x, c).argmin(1)
+    sizes, whole = [], kernels.sq_dist
+    monkeypatch.setattr(kernels, "NEAR_BYTES", 32 * 8 * 100)
+    monkeypatch.setattr(kernels, "sq_dist", lambda a, b: sizes.append(len(a)) or whole(a, b))
+    assert kernels.nearest(x, c).tolist() == want.tolist() and sizes == [100] * 10
+    assert kernels.nearest(x[:0], c).tolist() == []
+
+
 def _scans(spark, fn):
     """Rows that a counting UDF saw while ``fn`` ran."""
     n = spark.sparkContext.accumulator(0)
